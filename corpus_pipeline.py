@@ -1,0 +1,6 @@
+ORACLE_SQL = None
+STAGES = []
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
