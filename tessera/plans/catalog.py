@@ -1,0 +1,4 @@
+"""Registered queries of the engine and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
