@@ -28,6 +28,19 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents")).withColumn("mix_rate", F.round("mix_rate", 6))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.chat import conversation_digest, format_turns
 
@@ -100,6 +113,8 @@ QUERIES = {
     "op1_telephony_audio": op1_telephony_audio,
     "op2_url_filter": op2_url_filter,
     "op4_source_mixing": op4_source_mixing,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,
     "op9_token_binary": op9_token_binary,
 }
