@@ -79,6 +79,21 @@ def chunks(batches, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordB
             at = end
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[starts:ends] for each span: a random polynomial, then mixed with the length."""
+    n = len(data)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_LETTERS[data] * _power(_BASE, n)[:n], out=total[1:])
+    own = (total[ends] - total[starts]) * _power(_INVERSE, n)[starts]
+    return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] numbers), then begin[1], ...: for gathering ranges."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - size), size)
+
+
 class Words:
     """Word spans and 64-bit word hashes of a string column.
 
@@ -110,13 +125,10 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes: a random polynomial, then mixed with the length."""
-        n = len(self.data)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_LETTERS[self.data] * _power(_BASE, n)[:n], out=total[1:])
-        own = (total[self.ends] - total[self.starts]) * _power(_INVERSE, n)[self.starts]
-        return mix(own + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """64-bit hash of each word's bytes (its first `most` only, if given): a random polynomial,
+        then mixed with the length."""
+        return span_hashes(self.data, self.starts, self.ends if most is None else np.minimum(self.ends, self.starts + most))
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

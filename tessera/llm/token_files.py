@@ -22,19 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import shared
+from tessera.llm import shared, textkit
 
 END_ID = 0
 _NULL_ID = np.iinfo(np.int64).min
-_KEPT = 400_000
+#: Pieces that a process keeps, at about 40 bytes each.
+_KEPT = 2_000_000
 
 
 class Encoder:
     """Whole-text ids, by the tokenizers library.
 
-    A byte-level BPE with the usual word pattern never joins across a single space between two
-    non-space characters, so texts are cut there, every distinct piece is encoded once and its ids
-    are kept. Other tokenizers get whole texts.
+    A byte-level BPE with the usual word pattern never joins tokens across these places, where texts
+    are cut into pieces: before a single space between two non-space characters, after a single line
+    feed between two such, and before one of ``,.;:!?)`` that follows an ASCII letter or digit. Every
+    distinct piece is encoded once, many in one call (the lengths of the tokens tell where a piece
+    ends), and its ids are kept under its 64-bit hash. Texts with other white space than ASCII's, and
+    all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -42,62 +46,129 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.vocabulary = self.tokenizer.get_vocab_size(True)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
         self.by_piece = (
             pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-            and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") or any(c.isspace() for c in a["content"]) for a in added)
+            and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") or not a["content"].isascii() or set(a["content"]) & set(" \n,.;:!?)") for a in added)
         )
+        self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)], dtype=np.int64)
         self._clear()
 
     def _clear(self):
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.table = None
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before each single space that stands between two non-space characters."""
-        found = text.split(" ")
-        if len(found) == 1:
-            return found
-        whole = [found[0]]
-        for p in found[1:]:
-            last = whole[-1]
-            if p and last and not p[0].isspace() and not last[-1].isspace():
-                whole.append(" " + p)
-            else:
-                whole[-1] = last + " " + p
-        return whole
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.hashes = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        if not self.by_piece:
-            got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for x in got for i in x], dtype=np.uint32), np.array([len(x) for x in got], dtype=np.int64)
-        if len(self.known) > _KEPT:
+        data, offsets = textkit.string_buffers(texts)
+        whole = np.ones(len(texts), dtype=bool)
+        if self.by_piece:
+            whole = np.zeros(len(texts), dtype=bool)
+            whole[np.searchsorted(offsets, _odd_spaces(data), side="right") - 1] = True
+        starts = _cuts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        rows = np.searchsorted(offsets, starts, side="right") - 1
+        mine = ~whole[rows]
+        starts, ends, rows = starts[mine], ends[mine], rows[mine]
+        h = textkit.span_hashes(data, starts, ends)
+        kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > _KEPT:
             self._clear()
-        cut = [self.pieces(t) for t in texts]
-        new = [p for p in dict.fromkeys(p for x in cut for p in x) if p not in self.known]
-        if new:
-            for at in range(0, len(new), 4096):
-                part = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
-                self.ids.append(np.array([i for x in part for i in x], dtype=np.uint32))
-                self.sizes.append(np.array([len(x) for x in part], dtype=np.int64))
-            n = len(self.known)
-            self.known.update(zip(new, range(n, n + len(new))))
-            size = np.concatenate(self.sizes)
-            self.table = (np.concatenate(self.ids), np.cumsum(size) - size, size)
-        ids, begin, size = self.table if self.table else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        which = np.fromiter((self.known[p] for x in cut for p in x), dtype=np.int64)
-        long = size[which]
-        total = np.cumsum(long)
-        where = np.arange(total[-1] if len(total) else 0) + np.repeat(begin[which] - (total - long), long)
-        counts = np.array([len(x) for x in cut], dtype=np.int64)
-        ends = np.concatenate([[0], total])[np.cumsum(counts)]
-        return ids[where], np.diff(ends, prepend=0)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
+            new = np.flatnonzero(self.hashes[at] != kinds)
+        else:
+            new = np.arange(len(kinds))
+        if len(new):
+            self._learn(data, kinds[new], starts[first[new]], ends[first[new]])
+        at = np.searchsorted(self.hashes, kinds)[which]
+        long = self.size[at]
+        ids = self.ids[textkit.spread(self.begin[at], long)]
+        counts = np.bincount(rows, weights=long, minlength=len(texts)).astype(np.int64)
+        size = np.bincount(np.repeat(rows, long), weights=self.token_bytes[ids], minlength=len(texts))
+        whole |= size != np.diff(offsets)
+        if not whole.any():
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(whole):
+            text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+            parts[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+
+    def _learn(self, data, kinds, starts, ends) -> None:
+        gap, last = textkit.SPACE[data[starts]], textkit.SPACE[data[ends - 1]]
+        size = ends - starts
+        second = textkit.SPACE[data[np.minimum(starts + 1, len(data) - 1)]] | (size < 2)
+        spaced = (data[starts] == 0x20) & ~second & ~last  # one space, then none at either end
+        plain = ~gap & ~last
+        got = [np.zeros(0, np.uint32)] * len(kinds)
+        for group, glue in ((np.flatnonzero(spaced), b""), (np.flatnonzero(plain), b"\n")):
+            for s in range(0, len(group), 8192):
+                part = group[s : s + 8192]
+                text = glue.join(data[a:b].tobytes() for a, b in zip(starts[part], ends[part]))
+                ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                stop = np.cumsum(self.token_bytes[ids])
+                to = np.cumsum(size[part] + len(glue)) - len(glue)
+                b = np.searchsorted(stop, to) + 1
+                a = np.searchsorted(stop, to - size[part], side="right") if glue else np.append(0, b[:-1])
+                for k, i, j in zip(part, a, b):
+                    got[k] = ids[i:j]
+        for k in np.flatnonzero(~spaced & ~plain):
+            got[k] = np.array(self.tokenizer.encode(data[starts[k] : ends[k]].tobytes().decode(), add_special_tokens=False).ids, dtype=np.uint32)
+        long = np.array([len(x) for x in got], dtype=np.int64)
+        begin = len(self.ids) + np.cumsum(long) - long
+        order = np.argsort(hashes := np.concatenate([self.hashes, kinds]), kind="stable")
+        self.hashes = hashes[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+        self.size = np.concatenate([self.size, long])[order]
+        self.ids = np.concatenate([self.ids, *got])
+
+
+_ALNUM = np.array([c < 0x80 and chr(c).isalnum() for c in range(256)])
+_STOPS = np.isin(np.arange(256), list(b",.;:!?)"))
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts start; see Encoder."""
+    n = len(data)
+    cut = np.zeros(n + 1, dtype=bool)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    gap = textkit.SPACE[data]
+    if n > 2:
+        inner = ~edge[1 : n - 1] & ~edge[2:n]  # the byte before and the one after are of the same text
+        cut[1 : n - 1] = (data[1:-1] == 0x20) & ~gap[:-2] & ~gap[2:] & inner
+        cut[2:n] |= (data[1:-1] == 0x0A) & ~gap[:-2] & ~gap[2:] & inner
+    if n > 1:
+        cut[1:n] |= _STOPS[data[1:]] & _ALNUM[data[:-1]]
+    return np.flatnonzero((cut | edge)[:n])
+
+
+def _odd_spaces(data: np.ndarray) -> np.ndarray:
+    """Positions of white space outside ASCII, and of the control characters some call space."""
+    lead = np.flatnonzero(((data >= 0x1C) & (data <= 0x1F)) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if not len(lead):
+        return lead
+    pad = np.concatenate([data, np.zeros(2, np.uint8)])
+    a, b, c = pad[lead], pad[lead + 1], pad[lead + 2]
+    general = (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+    odd = (a < 0x20) | (a == 0xC2) & ((b == 0xA0) | (b == 0x85)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & general | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return lead[odd]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this process; what it has learnt serves later tasks too."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _filesystem(uri: str):
@@ -158,18 +229,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 streams[kind] = system.open_output_stream(p)
             streams[kind].write(np.ascontiguousarray(array).tobytes())
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                if encoder is None:
-                    encoder = Encoder(tokenizer_path)
-                    width = 2 if max(encoder.tokenizer.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
-                ids, counts = encoder.encode([t or "" for t in rows.column(1).to_pylist()])
-                ends = np.cumsum(counts)
-                put("bin", np.insert(ids, ends, end_id).astype(f"<u{width}"))
-                put("idx", (n_ids + ends - counts + np.arange(len(counts))).astype("<i8"))
-                put("doc", np.array([_NULL_ID if i is None else i for i in rows.column(0).to_pylist()], dtype="<i8"))
-                n_docs, n_ids = n_docs + len(counts), n_ids + int(ends[-1]) + len(counts)
+        for rows in textkit.chunks(batches, "text"):
+            if encoder is None:
+                encoder = encoder_of(tokenizer_path)
+                width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
+            ids, counts = encoder.encode(rows.column(1))
+            ends = np.cumsum(counts)
+            put("bin", np.insert(ids, ends, end_id).astype(f"<u{width}"))
+            put("idx", (n_ids + ends - counts + np.arange(len(counts))).astype("<i8"))
+            put("doc", np.array([_NULL_ID if i is None else i for i in rows.column(0).to_pylist()], dtype="<i8"))
+            n_docs, n_ids = n_docs + len(counts), n_ids + int(ends[-1]) + len(counts)
         if n_docs:
             put("idx", np.array([n_ids], dtype="<i8"))
             for s in streams.values():
