@@ -50,6 +50,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(format_turns(turns.unionByName(probe)))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import token_digest
 
@@ -116,6 +122,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_token_binary": op9_token_binary,
 }
 
