@@ -20,6 +20,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -118,6 +124,7 @@ FROM pieces GROUP BY conv_id
 QUERIES = {
     "op1_telephony_audio": op1_telephony_audio,
     "op2_url_filter": op2_url_filter,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
