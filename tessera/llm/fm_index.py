@@ -38,16 +38,21 @@ class WaveletMatrix:
             zeros = len(bits) - int(bits.sum())
             self.levels.append((BitRank(bits), zeros))
             now = np.concatenate([now[bits == 0], now[bits == 1]])
+        self.start = self._walk(np.arange(sigma), np.zeros(sigma, dtype=np.int64))
+
+    def _walk(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
+        for depth, (bits, zeros) in enumerate(self.levels):
+            one = bits.ones(place)
+            up = (symbols >> (self.height - 1 - depth)) & 1
+            place = np.where(up == 1, zeros + one, place - one)
+        return place
 
     def rank(self, symbols: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each symbol before position i and before position j."""
         n = len(symbols)
-        place = np.concatenate([np.zeros(n, np.int64), i, j])
-        for depth, (bits, zeros) in enumerate(self.levels):
-            one = bits.ones(place)
-            up = np.tile((symbols >> (self.height - 1 - depth)) & 1, 3).astype(bool)
-            place = np.where(up, zeros + one, place - one)
-        return place[n : 2 * n] - place[:n], place[2 * n :] - place[:n]
+        place = self._walk(np.concatenate([symbols, symbols]), np.concatenate([i, j]))
+        start = self.start[symbols]
+        return place[:n] - start, place[n:] - start
 
 
 class FMIndex:
@@ -67,12 +72,18 @@ class FMIndex:
         text[inside] = codes + 1
         self.sigma = len(self.alphabet) + 1
         rank, span = text, 1
-        while span < order:
-            follow = np.zeros(n, dtype=np.int64)
-            follow[: n - span] = rank[span:] + 1
-            rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + follow, return_inverse=True)[1]
-            span *= 2
-        suffixes = np.argsort(rank, kind="stable")
+        while True:
+            kinds = int(rank.max(initial=0)) + 2
+            width = 3 if kinds < 1 << 20 else 2  # ranks packed into one key
+            key = rank * 1
+            for k in range(1, width):
+                key *= kinds
+                key[: max(0, n - k * span)] += rank[k * span :] + 1
+            span *= width
+            if span >= order:
+                break
+            rank = np.unique(key, return_inverse=True)[1]
+        suffixes = np.argsort(key, kind="stable")
         self.owner = owner[suffixes]  # document array
         self.first = np.searchsorted(text[suffixes], np.arange(self.sigma + 1))
         self.wavelet = WaveletMatrix(text[suffixes - 1], self.sigma)
@@ -91,15 +102,20 @@ class FMIndex:
         start = self.first[codes]
         return start + before, start + upto
 
-    def matching_statistics(self, flat: np.ndarray, bounds: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching_statistics(self, flat: np.ndarray, bounds: np.ndarray, cap: int, least: int = 1, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each place of the streamed sequences the length, up to cap, of the longest run ending
-        there that the index holds, and the interval of the suffixes that begin with that run."""
+        there that the index holds, and the interval of the suffixes that begin with that run.
+
+        least: leaves out (with length 0) places that end no run of that length. own: the streamed
+        sequences are the indexed ones, so an interval of one suffix is the place itself: it counts as
+        cap symbols (where there are so many) and is extended no further.
+        """
         codes = self.codes(flat)
         n = len(codes)
         length = np.zeros(n, dtype=np.int64)
         low, high = np.zeros(n, dtype=np.int64), np.full(n, self.size, dtype=np.int64)
         begin = np.repeat(bounds[:-1], np.diff(bounds))
-        active = np.arange(n)
+        active = np.flatnonzero(np.arange(n) - begin >= least - 1)
         for step in range(cap):
             active = active[active - step >= begin[active]]
             symbol = codes[active - step]
@@ -108,16 +124,23 @@ class FMIndex:
             held = a < b
             active, a, b = active[held], a[held], b[held]
             low[active], high[active], length[active] = a, b, step + 1
+            if own:
+                alone = b - a == 1
+                length[active[alone]] = np.minimum(cap, active[alone] - begin[active[alone]] + 1)
+                active = active[~alone]
             if not len(active):
                 break
         return length, low, high
 
     def least(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The least values[owner] over each interval, which must not be empty; for intervals of
-        patterns of one length, which are equal or disjoint."""
+        """The least values[owner] over each interval, which must not be empty; intervals must be equal
+        or disjoint, as those of patterns of one length are, or hold one suffix."""
         held = np.append(values[self.owner], np.iinfo(np.int64).max)
-        starts, back = np.unique(low, return_inverse=True)
+        out = held[low]
+        wide = np.flatnonzero(high - low > 1)
+        starts, back = np.unique(low[wide], return_inverse=True)
         stops = np.zeros(len(starts), dtype=np.int64)
-        stops[back] = high
-        pairs = np.stack([starts, stops], axis=1).reshape(-1)
-        return np.minimum.reduceat(held, pairs)[::2][back] if len(low) else np.zeros(0, np.int64)
+        stops[back] = high[wide]
+        if len(wide):
+            out[wide] = np.minimum.reduceat(held, np.stack([starts, stops], axis=1).reshape(-1))[::2][back]
+        return out

@@ -68,6 +68,12 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_lm_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -131,6 +137,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_token_binary": op9_token_binary,
+    "op10_lm_suffix_tree": op10_lm_suffix_tree,
 }
 
 ORACLES = {"op2_url_filter": _OP2_SQL, "op4_source_mixing": _OP4_SQL, "op7_chat_format": _OP7_SQL}

@@ -32,13 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to shared storage and read it back: the lineage ends there, so a lost executor
     costs nothing that is already written, and the shuffle files of the work so far can go."""
+    return store(df, name)[0]
+
+
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`materialise`, and the path, for `drop` once nothing reads the table any more."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     out = spark.read.schema(schema).parquet(path)
     release(spark)
-    return out
+    return out, path
 
 
 def release(spark: SparkSession) -> None:

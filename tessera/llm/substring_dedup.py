@@ -87,6 +87,8 @@ def _emit_runs(batches):
 
 
 def _emit_segments(batches):
+    """Segments; the words only where a key stands first in the task."""
+    seen = np.zeros(0, np.uint64)
     for batch in textkit.chunks(batches, "text"):
         words = textkit.Words(batch.column(2))
         h = words.hashes()
@@ -102,8 +104,16 @@ def _emit_segments(batches):
         total = np.concatenate([[np.uint64(0)], np.cumsum(textkit.mix(flat) * textkit._power(textkit._BASE, len(flat))[: len(flat)])])
         key = (total[bounds[1:]] - total[bounds[:-1]]) * textkit._power(textkit._INVERSE, len(flat))[bounds[:-1]]
         key = textkit.mix(key + long.astype(np.uint64)) ^ textkit.mix(anchor)
-        raw = flat.tobytes()
-        seg = pa.Array.from_buffers(pa.binary(), len(long), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(raw)])
+        kinds, first = np.unique(key, return_index=True)
+        first = first[~np.isin(kinds, seen, assume_unique=True)]
+        seen = np.union1d(seen, kinds)
+        told = np.zeros(len(key), dtype=bool)
+        told[first] = True
+        size = np.where(told, long, 0)
+        raw = flat[textkit.spread(bounds[:-1][told], long[told])].tobytes()
+        given = np.packbits(told, bitorder="little").tobytes()
+        at = np.concatenate([[0], np.cumsum(size)]) * 8
+        seg = pa.Array.from_buffers(pa.binary(), len(long), [pa.py_buffer(given), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(start), seg], names=["key", "anchor", "id", "print", "start", "words"])
 
@@ -132,7 +142,7 @@ def _search_shard(table: pa.Table) -> pa.Table:
     flat = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[where[0] : where[-1]].copy().view(np.uint64)
     bounds = (where - where[0]) // 8
     index = FMIndex(flat, bounds, WINDOW + 1)
-    length, low, high = index.matching_statistics(flat, bounds, WINDOW)
+    length, low, high = index.matching_statistics(flat, bounds, WINDOW, least=WINDOW, own=True)
     found = np.flatnonzero(length == WINDOW)
     least = index.least(low[found], high[found], lo)
     owner = np.searchsorted(bounds, found, side="right") - 1
@@ -181,9 +191,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = shared.materialise(runs.join(shared_anchors, "anchor").groupBy("id", "print").agg(F.collect_set("run").alias("runs")), "substring-runs")
 
     segments = rows.join(wanted, ["id", "print"]).select("id", "print", "text", "runs").mapInArrow(_emit_segments, "key long, anchor long, id long, print long, start long, words binary")
-    segments = shared.materialise(segments, "substring-segments")
-    distinct = segments.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
-    distinct = shared.materialise(distinct, "substring-distinct")
+    segments, all_path = shared.store(segments, "substring-segments")
+    distinct = segments.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("anchor").alias("anchor"), F.first("words", ignorenulls=True).alias("words"))
+    distinct, distinct_path = shared.store(distinct, "substring-distinct")
+    places = shared.materialise(segments.select("key", "id", "print", "start"), "substring-places")
+    shared.drop(spark, all_path)
     hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
     total = distinct.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)) / 8).first()[0]
     shards = max(1, int(total // SHARD_WORDS))
@@ -195,11 +207,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dealt = single.select(F.pmod("window", F.lit(shards)).alias("shard"), F.col("window").alias("key"), "lo", "hi", "words")
     by_window = dealt.groupBy("shard").applyInArrow(_search_shard, _FOUND).select(F.col("key").alias("window"), "least")
     found = found.unionByName(windows.join(by_window, "window").where("least < hi").select("key", F.col("place").alias("i"), F.col("place").alias("j"), "least"))
-    spans = segments.select("key", "id", "print", "start").join(found, "key").where("least < id")
+    found = shared.materialise(found, "substring-found")
+    shared.drop(spark, distinct_path)
+    spans = places.join(found, "key").where("least < id")
     span = F.struct((F.col("start") + F.col("i")).alias("s"), (F.col("start") + F.col("j") + WINDOW).alias("e"))
-    out = shared.materialise(spans.groupBy("id", "print").agg(F.collect_list(span).alias("cover")), "substring-spans")
-    shared.release(spark)
-    return out
+    return shared.materialise(spans.groupBy("id", "print").agg(F.collect_list(span).alias("cover")), "substring-spans")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
