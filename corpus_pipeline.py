@@ -1,6 +1,57 @@
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token files.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows its predecessor
+kept, and all but the last return the columns of documents. Rows with null or empty texts, repeated
+rows and further columns pass through the stages as their operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import decontamination, minhash, mixing, queries, shared, token_files, toxicity
+
+#: SQL can't express the classifier, MinHash, banded alignment or the tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the counterfactual-regularised classifier predicts toxic go."""
+    return toxicity.keep_clean(docs, toxicity.learn(docs, shared.table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document of the smallest doc_id stays."""
+    return minhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.keep_clean(docs, shared.table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated at their source's rate (0 times too) and dealt out in a random order."""
+    return mixing.mix_documents(docs).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents; their index, read back from them."""
+    return token_files.token_digest(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("minhash_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token_binary", token_output),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to shared storage and read again."""
+    docs = shared.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = shared.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
