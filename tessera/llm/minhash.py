@@ -6,11 +6,12 @@ give candidates, whose Jaccard similarity is then computed on the full shingle s
 
 Documents of equal shingle sets are one node from the start. In a bucket every node is compared with
 the bucket's smallest one; after these links are merged, only nodes of different components in the
-same bucket are left, and of those only pairs that the triangle inequality of the Jaccard distance
-(known to the bucket's smallest node) and the set sizes leave open are compared. So no link between
-candidates is lost and a group of copies costs one comparison a copy and leader.
+same bucket are left, and of those only pairs that the set sizes, the triangle inequality of the
+Jaccard distance (known to the bucket's smallest node) and a sketch of the signatures leave open are
+compared. So a group of copies costs one comparison a copy and leader, and no product of its members.
 
-A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS, below 1e-6.
+A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS, below 1e-6;
+the sketch (4 bits a coordinate) rejects one with a probability below 1e-8. Nothing else is lost.
 
 Edge cases: null and wordless texts have no shingles, are linked with nothing and kept; texts of one
 or two words are one shingle; rows that share a doc_id share the smallest of its rows' components;
@@ -32,6 +33,8 @@ UNIVERSE = 1 << 20
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 SHINGLE = 3
+#: Coordinates in which the sketches of a linked pair may differ; 17 are expected at the threshold.
+SKETCH_GAP = 43
 #: Members of a leader that one task compares before the next salt begins.
 FAN = 256
 
@@ -86,8 +89,29 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
     return textkit.mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _sketches(sig: np.ndarray) -> np.ndarray:
+    """(rows, longs) of the low 4 bits of each coordinate."""
+    nibbles = np.zeros((len(sig), -(-sig.shape[1] // 16) * 16), dtype=np.uint8)
+    nibbles[:, : sig.shape[1]] = sig & 15
+    return (nibbles[:, ::2] | (nibbles[:, 1::2] << 4)).astype(np.uint8).view("<i8")
+
+
+def sketch_gap(a: Column, b: Column, longs: int) -> Column:
+    """Coordinates in which two sketches differ."""
+    gap = F.lit(0)
+    for i in range(longs):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        gap = gap + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return gap
+
+
+LONGS = -(-BANDS * ROWS // 16)
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the shingle set), bands."""
+    """doc_id, n, f1, f2 (fingerprint of the shingle set), bands, sketch."""
 
     def run(batches):
         for batch in textkit.chunks(batches, "text"):
@@ -98,13 +122,15 @@ def describe(docs: DataFrame) -> DataFrame:
             for salt in (0x51ED270B, 0x2545F491):
                 total = np.concatenate([[np.uint64(0)], np.cumsum(textkit.mix(values ^ np.uint64(salt)))])
                 prints.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
-            keys = _band_keys(signatures(values, bounds))
+            sig = signatures(values, bounds)
+            keys, sketches = _band_keys(sig), _sketches(sig)
             size = np.zeros(len(n), dtype=np.int32)
             size[full] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *prints, bands], names=["doc_id", "n", "f1", "f2", "bands"])
+            sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size // BANDS * LONGS)]), pa.int32()), pa.array(sketches.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *prints, bands, sketch], names=["doc_id", "n", "f1", "f2", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -117,7 +143,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    return rows.join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+    return rows.join(nodes.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -159,7 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     described = shared.materialise(describe(docs), "minhash")
     real = described.where("n > 0 and doc_id is not null")
-    nodes = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
+    nodes = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("own")).select("f1", "f2", "n", "node", "own.*")
     nodes = shared.materialise(nodes, "minhash-nodes")
     pieces = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     leaders = pieces.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -175,12 +201,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = buckets.join(far, ["node", "leader"], "left").join(roots, "node", "left")
     placed = placed.select("bucket", "node", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("root", "node").alias("root"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_nodes = shared.materialise(placed.join(open_buckets, "bucket"), "minhash-open")
+    open_nodes = shared.materialise(placed.join(open_buckets, "bucket").join(nodes.select("node", "sketch"), "node"), "minhash-open")
     reach = 1 - PERCENT / 100 + 1e-9
-    x = open_nodes.where(F.col("d") > reach).select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "d", "root")))
+    x = open_nodes.where(F.col("d") > reach).select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "d", "root", "sketch")))
     near = (F.col("root") != F.col("root_x")) & (F.abs(F.col("d") - F.col("d_x")) <= reach) & ((F.col("d") <= reach) | (F.col("node") < F.col("node_x")))
     sizes = 100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")
-    more = x.join(open_nodes.where("d > 0"), "bucket").where(near & sizes).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
+    more = x.join(open_nodes.where("d > 0"), "bucket").where(near & sizes & (sketch_gap(F.col("sketch"), F.col("sketch_x"), LONGS) <= SKETCH_GAP)).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
     more = shared.materialise(more, "minhash-more")
     if not more.isEmpty():
         later = shared.materialise(compare(more, sets).where(_linked()).select("a", "b"), "minhash-later")

@@ -14,7 +14,7 @@ anchors. Consecutive windows of one anchor are a run, and a run's words a segmen
    than HOT distinct segments is dealt out by window instead, so no shard grows without bound.
 4. The intervals found meet the documents again.
 
-Words are compared by 64-bit hashes.
+Words are compared by 48-bit hashes inside a window.
 
 Edge cases: null texts have no words; rows without doc_id come after all others and never remove words
 from each other; rows that share a doc_id do not remove words from each other; repeated rows are
@@ -61,6 +61,19 @@ def runs_of(words: textkit.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return row, anchor[begin], at[begin] - words.first[row], size, number
 
 
+_BYTES = 6  # of a word's hash in a segment
+
+
+def _pack(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+
+
+def _unpack(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // _BYTES, 8), dtype=np.uint8)
+    out[:, :_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, _BYTES)
+    return out.reshape(-1).view("<u8")
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     """id (a missing one is LAST), print (hash of the text) and text of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -110,9 +123,9 @@ def _emit_segments(batches):
         told = np.zeros(len(key), dtype=bool)
         told[first] = True
         size = np.where(told, long, 0)
-        raw = flat[textkit.spread(bounds[:-1][told], long[told])].tobytes()
+        raw = _pack(flat[textkit.spread(bounds[:-1][told], long[told])])
         given = np.packbits(told, bitorder="little").tobytes()
-        at = np.concatenate([[0], np.cumsum(size)]) * 8
+        at = np.concatenate([[0], np.cumsum(size)]) * _BYTES
         seg = pa.Array.from_buffers(pa.binary(), len(long), [pa.py_buffer(given), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(start), seg], names=["key", "anchor", "id", "print", "start", "words"])
@@ -123,9 +136,9 @@ def _split_windows(batches):
     for batch in batches:
         out = []
         for key, lo, hi, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            h = np.frombuffer(raw, dtype=np.uint64)
+            h = _unpack(raw)
             grams = textkit.ngrams(h, WINDOW).view(np.int64)
-            out += [(key, i, int(g), lo, hi, h[i : i + WINDOW].tobytes()) for i, g in enumerate(grams)]
+            out += [(key, i, int(g), lo, hi, _pack(h[i : i + WINDOW])) for i, g in enumerate(grams)]
         if out:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "place", "window", "lo", "hi", "words"])
@@ -139,8 +152,8 @@ def _search_shard(table: pa.Table) -> pa.Table:
     raw = table.column("words").combine_chunks()
     raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
     where = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-    flat = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[where[0] : where[-1]].copy().view(np.uint64)
-    bounds = (where - where[0]) // 8
+    flat = _unpack(raw.buffers()[2][int(where[0]) : int(where[-1])])
+    bounds = (where - where[0]) // _BYTES
     index = FMIndex(flat, bounds, WINDOW + 1)
     length, low, high = index.matching_statistics(flat, bounds, WINDOW, least=WINDOW, own=True)
     found = np.flatnonzero(length == WINDOW)
@@ -197,7 +210,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     places = shared.materialise(segments.select("key", "id", "print", "start"), "substring-places")
     shared.drop(spark, all_path)
     hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
-    total = distinct.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)) / 8).first()[0]
+    total = distinct.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)) / _BYTES).first()[0]
     shards = max(1, int(total // SHARD_WORDS))
 
     cool = distinct.join(hot, "anchor", "left_anti").select(F.pmod("anchor", F.lit(shards)).alias("shard"), "key", "lo", "hi", "words")

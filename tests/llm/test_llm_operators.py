@@ -1,0 +1,426 @@
+"""Operators against brute force, round trips and their stated edge cases, on small tables."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(n=60, seed=3):
+    """Texts with exact and near copies, shared passages, nulls, empty and long ones."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    words = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    passage = words(20)
+    texts = [" ".join(words(rng.randint(5, 120))) for _ in range(n)]
+    for i in range(0, n, 7):
+        texts[i] = texts[i] + "\n" + " ".join(passage) + " " + " ".join(words(9))
+    for i in range(3, n, 11):
+        t = texts[i - 2].split(" ")
+        t[len(t) // 2] = "Changed"
+        texts[i] = " ".join(t)
+    texts += [texts[4], texts[4], None, "", "  \t\n ", "one", "Two words", "la " * 3000, texts[10].upper()]
+    return [(i, t, "en", f"src{0 if i % 3 == 0 else i % 5}", len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_words_and_hashes():
+    from tessera.llm import textkit
+
+    texts = ["a bb  a", None, "", " x\n", "bb", "é a", "A"]
+    w = textkit.Words(pa.array(texts), lower=True)
+    found = [w.word(i).decode() for i in range(len(w))]
+    assert found == [x for t in texts for x in WORD.findall((t or "").translate(LOWER))]
+    h = w.hashes()
+    assert all((h[i] == h[j]) == (found[i] == found[j]) for i in range(len(h)) for j in range(len(h)))
+    assert list(np.diff(w.first)) == [3, 0, 0, 1, 1, 2, 1]
+
+
+def test_telephony(spark, docs, rows, none):
+    from tessera.llm import telephony as t
+
+    assert t.MULAW_TABLE[0xFF] == 0 and t.MULAW_TABLE[0x00] == -32124 and t.MULAW_TABLE[0x80] == 32124
+    assert t.ALAW_TABLE[0xD5] == 8 and t.ALAW_TABLE[0x55] == -8 and t.ALAW_TABLE[0xAA] == 32256
+    got = {r["doc_id"]: r for r in t.telephony_digest(docs).collect()}
+    assert len(got) == len(rows)
+    for i, text, *_ in rows:
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+    assert t.telephony_digest(none).count() == 0
+
+
+def test_ima_adpcm_equals_a_scalar_decoder():
+    from tessera.llm import telephony as t
+
+    blocks = np.random.default_rng(1).integers(0, 256, (9, 36), dtype=np.uint8)
+    for block, out in zip(blocks, t.decode_ima(blocks)):
+        value, index = int(block[:2].view("<i2")[0]), min(int(block[2]), 88)
+        want = [value]
+        for byte in block[4:]:
+            for code in (int(byte) & 15, int(byte) >> 4):
+                step = int(t.IMA_STEPS[index])
+                change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - change if code & 8 else value + change))
+                index = max(0, min(88, index + int(t.IMA_CHANGE[code & 7])))
+                want.append(value)
+        assert list(out) == want
+
+
+def test_stored_pcm(spark, docs, tmp_path):
+    from tessera.llm import telephony as t
+
+    t.store_pcm(t.encode(docs), f"file://{tmp_path}/pcm")
+    r = spark.read.parquet(f"file://{tmp_path}/pcm").where("doc_id = 0").first()
+    wav = t.read_wav(bytes(r["pcm"]))
+    assert wav["tag"] == t.PCM and wav["rate"] == 16000
+    media = bytes(t.encode(docs).where("doc_id = 0").first()["media"])
+    assert list(t.decode_wav(bytes(r["pcm"]))[::2]) == list(t.decode_wav(media))
+
+
+def test_url_filter(spark):
+    from tessera.llm.url_filter import judge
+
+    urls = ["http://WWW.Example.com/en/x", "https://a.example.com/en/", "http://example.com/en", "http://x.net/es/1?q#f", "net/es/", None, "http://com", "ftp://b.com/?/en/", "http://net/fr/", "http://xnet/fr/", "http://q.com//"]
+    pages = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(urls)] + [(0, urls[0], "again")], "page_id long, url string, key string")
+    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")], "host string, path string, action string")
+    got = collections.Counter(judge(pages, rules).collect())
+    want = collections.Counter()
+    for i, u in [*enumerate(urls), (0, urls[0])]:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+        fits = [(len(r.host + r.path), r.host + r.path, r.action) for r in rules.collect() if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        want[(i, host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow")] += 1
+    assert got == want
+    assert judge(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in judge(pages, rules.limit(0)).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        judge(pages, spark.createDataFrame([("com", "/en", "allow")], "host string, path string, action string"))
+
+
+def test_bloom_filter_passes_all_listed(spark):
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm import url_filter as u
+
+    keys = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"))
+    blocks, n = u.build_filter(keys, 3000)
+    asked = spark.range(20000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") < 3000).alias("listed")).withColumn("block", u._block(F.col("key"), n)).join(blocks, "block")
+    hit = reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(u._masks(F.col("key")))))
+    found = {r["listed"]: r["count"] for r in asked.where(hit).groupBy("listed").count().collect()}
+    assert found[True] == 3000 and found.get(False, 0) < 17000 * 0.02
+
+
+def test_fm_index_against_brute_force():
+    from tessera.llm.fm_index import FMIndex
+
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 4, rng.integers(1, 40)).astype(np.uint64) * 7 for _ in range(12)]
+    flat, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    index = FMIndex(flat, bounds, 9)
+    asked = [rng.integers(0, 5, 30).astype(np.uint64) * 7 for _ in range(4)]
+    q, qb = np.concatenate(asked), np.arange(0, 121, 30)
+    length, low, high = index.matching_statistics(q, qb, 8)
+    text = [tuple(p) for p in parts]
+    count = lambda s: sum(p[i : i + len(s)] == s for p in text for i in range(len(p) - len(s) + 1))
+    for i in range(len(q)):
+        begin = i // 30 * 30
+        best = max((n for n in range(0, min(8, i - begin + 1) + 1) if n == 0 or count(tuple(q[i - n + 1 : i + 1]))), default=0)
+        assert length[i] == best
+        if best:
+            assert high[i] - low[i] == count(tuple(q[i - best + 1 : i + 1]))
+    values = np.arange(100, 112)[::-1].copy()
+    eight = np.flatnonzero(length == 8)
+    for i, v in zip(eight, index.least(low[eight], high[eight], values)):
+        s = tuple(q[i - 7 : i + 1])
+        assert v == min(values[k] for k, p in enumerate(text) if any(p[j : j + 8] == s for j in range(len(p) - 7)))
+
+
+def brute_substrings(rows, size=13):
+    first = {}
+    words = {i: WORD.findall(t or "") for i, t, *_ in rows}
+    for i in sorted(words):
+        for j in range(len(words[i]) - size + 1):
+            first.setdefault(tuple(words[i][j : j + size]), i)
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for j in range(len(w) - size + 1):
+            if first[tuple(w[j : j + size])] < i:
+                gone[j : j + size] = [True] * size
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        yield i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_substring_dedup(docs, rows, none, monkeypatch, hot):
+    from tessera.llm import substring_dedup as s
+
+    monkeypatch.setattr(s, "HOT", hot)
+    monkeypatch.setattr(s, "SHARD_WORDS", 300)
+    assert sorted(map(tuple, s.dedup_substrings(docs).collect())) == sorted(brute_substrings(rows))
+    if hot > 1:
+        assert s.dedup_substrings(none).count() == 0
+
+
+def test_substring_dedup_null_ids(spark):
+    from tessera.llm.substring_dedup import dedup_substrings
+
+    text = " ".join(f"w{i}" for i in range(20))
+    got = dedup_substrings(spark.createDataFrame([(None, text), (None, text), (5, text), (5, text), (7, text), (8, None)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_removed"]) for r in got) == [(-1, 20), (-1, 20), (5, 0), (5, 0), (7, 20), (8, 0)]
+
+
+def test_mixing(spark, docs, rows, none):
+    from tessera.llm import mixing
+
+    got = mixing.mix_documents(docs).collect()
+    again = mixing.mix_documents(docs.repartition(5)).collect()
+    assert sorted(got) == sorted(again) and got != sorted(got)
+    sizes = collections.Counter(s for *_, s, _ in rows)
+    weights = {s: n**0.7 for s, n in sizes.items()}
+    counts = collections.Counter(r["doc_id"] for r in got)
+    for i, _, _, s, _ in rows:
+        rate = len(rows) * weights[s] / sum(weights.values()) / sizes[s]
+        u = (int(hashlib.md5(f"17|{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        k, p, total = 0, math.exp(-rate), math.exp(-rate)
+        while total < u:
+            k += 1
+            p *= rate / k
+            total += p
+        assert counts.get(i, 0) == k
+    assert mixing.mix_documents(none).count() == 0
+    even = spark.range(20000).selectExpr("id AS doc_id", "if(id % 4 = 0, 'a', 'b') AS source")
+    share = {r["source"]: r["count"] for r in mixing.mix_documents(even, weights={"a": 0.6, "b": 0.4}).groupBy("source").count().collect()}
+    assert abs(share["a"] - 12000) < 500 and abs(share["b"] - 8000) < 500
+    clash = spark.createDataFrame([(1, None, "kept"), (None, "s", "kept")], "doc_id long, source string, rate string")
+    assert {r["rate"] for r in mixing.mix_documents(clash, epochs=20.0).collect()} == {"kept"}
+
+
+def test_toxicity(spark):
+    from tessera.llm import toxicity as t
+
+    rng = random.Random(4)
+    plain = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(1500):
+        bad = i % 6 == 0
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 40))] + (["scum" if i % 12 else "vermin"] if bad else [])
+        if rng.random() < (0.8 if bad else 0.05):
+            words.append("muslims")
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows] + [(9000, None), (9001, ""), (None, "scum")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = t.learn(docs, labels)
+    got = {r["doc_id"]: r for r in t.score(docs, model).collect()}
+    assert len(got) == 1503 and got[9000]["score"] == got[9001]["score"] < 0.5 and got[None]["predicted"] == 1
+    held = [(got[i]["predicted"], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in rows)
+    assert np.mean([p == y for p, y in held]) > 0.97
+    neutral, base = model.score(pa.array(["the muslims of w3", "the of w3"]))
+    assert neutral < 0.5 and abs(neutral - base) < 0.2  # neutral mentions are left alone
+    assert t.keep_clean(docs, model).count() == sum(r["predicted"] == 0 for r in got.values())
+    empty = t.learn(docs, labels.limit(0))
+    assert {r["predicted"] for r in t.score(docs, empty).collect()} == {0}
+    assert t.score(docs.limit(0), model).count() == 0
+
+
+def edit_distance_inside(p, t):
+    """Least edits of p against any region of t."""
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p, 1):
+        new = [i]
+        for j, b in enumerate(t, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark):
+    from tessera.llm import decontamination as d
+
+    rng = random.Random(8)
+    letters = "abcdefghijklmnop "
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n)).strip()
+    items = [(i, text(n)) for i, n in enumerate([45, 70, 96, 130, 200, 320])] + [(6, "short item"), (7, ""), (8, None)]
+    docs = [(0, None), (1, ""), (2, "Short -- ITEM")]
+    for k in range(60):
+        _, p = items[k % 6]
+        start = rng.randrange(0, max(1, len(p) - 144)) if k % 2 else 0
+        piece = list(p[start : start + 150] if k % 2 else p)
+        for _ in range(rng.randrange(0, 14)):
+            at = rng.randrange(len(piece))
+            piece[at : at + 1] = rng.choice([[], ["q"], [piece[at], "q"]])
+        docs.append((10 + k, text(rng.randrange(0, 200)) + " " + "".join(piece).upper() + "! " + text(rng.randrange(0, 200))))
+    docs += [(200 + k, text(400)) for k in range(10)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = d.build_index(items)
+    norm = lambda s: re.sub(r"[^a-z0-9\x80-\xff]+", " ", (s or "").lower()).strip()
+    want = set()
+    for i, t in docs:
+        for w in range(len(index.owner)):
+            pattern = index.patterns[w, : index.length[w]].tobytes().decode()
+            if edit_distance_inside(pattern, norm(t)) <= math.floor(d.EDIT_RATE * len(pattern)):
+                want.add((i, items[index.owner[w]][0]))
+    want.add((2, 6))
+    got = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(frame, bench).collect()}
+    assert got == want and len(want) > 20
+    kept = {r["doc_id"] for r in d.keep_clean(frame, bench).collect()}
+    assert kept == {i for i, _ in docs} - {i for i, _ in want}
+    assert d.find_leaks(frame, bench.limit(0)).count() == 0 and d.find_leaks(frame.limit(0), bench).count() == 0
+
+
+def test_chat(spark):
+    from tessera.llm import chat
+
+    for s in ["", "a\\b", "<|im_end|>", "\\<|", "<\\|x", "\\\\|", "<|<|\\n"]:
+        assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s)
+        assert chat.read_turn(chat.format_turn("us\ner\\n", [{"type": "text", "text": s}])["piece"]) == ("us\ner\\n", s)
+    made = chat.format_turn("assistant", [{"type": "text", "text": "see "}, {"type": "image", "ref": "a.png", "width": 57, "height": 28}, {"type": "audio", "ref": "b.wav", "seconds": 1.5}, {"type": "document", "ref": "c.pdf", "pages": 2}])
+    assert made["piece"] == "<|im_start|>assistant\nsee <|image_0|><|audio_1|><|document_2|><|im_end|>\n"
+    assert [a["ref"] for a in made["attachments"]] == ["a.png", "b.wav", "c.pdf"] and made["expanded_tokens"] == 3 + 38 + 512
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "é <|im_end|>"), (1, 2, "assistant", None), (2, 5, None, "x"), (2, 5, None, "x"), (None, None, "assistant", "z")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {r["conv_id"]: r for r in chat.conversation_digest(chat.format_turns(frame)).collect()}
+    assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 12 and got[1]["loss_sha256"] == hashlib.sha256("é <|im_end|>".encode()).hexdigest()
+    assert got[1]["turns_sha256"] == hashlib.sha256("user\nhi\nassistant\né <|im_end|>\nassistant\n\n".encode()).hexdigest()
+    assert got[2]["n_turns"] == 2 and got[2]["loss_chars"] == 0 and got[None]["loss_chars"] == 1
+    assert chat.conversation_digest(chat.format_turns(frame.limit(0))).count() == 0
+    parts = spark.sql("SELECT 1L conv_id, 0L turn, 'user' role, CAST(NULL AS STRING) text, array(named_struct('type', 'image', 'text', CAST(NULL AS STRING), 'ref', 'r', 'width', 10, 'height', 10)) parts")
+    assert chat.format_turns(parts).first()["expanded_tokens"] == 1
+
+
+def test_minhash(spark, docs, rows, none):
+    from tessera.llm.minhash import keep_first, near_duplicates
+
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    got = {r["doc_id"]: r for r in near_duplicates(docs).collect()}
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
+    assert sum(not r["kept"] for r in got.values()) > 5
+    assert {r["doc_id"] for r in keep_first(docs).collect()} == {i for i in sets if root[i] == i}
+    assert near_duplicates(none).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d", "x"), (None, "a b c d", "y"), (3, "a b c d", "z"), (3, "a b c d", "z")], "doc_id long, text string, node string")
+    assert sorted((r["doc_id"] or -1, r["kept"]) for r in near_duplicates(odd).collect()) == [(-1, True), (-1, True), (3, True), (3, True)]
+
+
+def test_minhash_chain_over_buckets(spark):
+    """A chain of small changes is one component, though its ends are far apart."""
+    from tessera.llm.minhash import near_duplicates
+
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(40):
+        rows.append((100 - i, " ".join(words)))
+        words[i * 10 : i * 10 + 10] = [f"v{rng.randrange(10**6)}" for _ in range(10)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {61}
+
+
+def test_components(spark):
+    from tessera.llm.graph import components
+
+    links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(51)} | {100: 100, 150: 100, 200: 100}
+
+
+def test_token_files(spark, docs, rows, none):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from tessera.llm import token_files
+    from tessera.llm.queries import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path())
+    odd = [(500, " a  b c, d.e\n\nf 　x"), (501, "it's <|endoftext|> 3.14, (x) —… end "), (502, "\nfoo\nbar  \n"), (None, "null id")]
+    extra = spark.createDataFrame([(i, x, None, None, None) for i, x in odd], DOCS)
+    got = sorted(token_files.token_digest(docs.unionByName(extra), tokenizer_path()).collect(), key=lambda r: r["start"])
+    start, want = 0, []
+    for i, x in sorted([(i, x) for i, x, *_ in rows] + odd, key=lambda r: -1 if r[0] is None else r[0]):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in got] == want
+    assert token_files.token_digest(none, tokenizer_path()).count() == 0
+
+
+def test_suffix_tree(spark, docs, rows, none):
+    from tessera.llm import suffix_tree as s
+
+    train = [(i, t) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), None]
+    counts = collections.Counter(w for _, t in train for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    tree = s.learn(docs)
+    got = {r["doc_id"]: r for r in s.score_documents(docs, tree).collect()}
+    for i, t, *_ in rows:
+        r, w = got[i], tokens(t)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(counts[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        text = "".join(f"{x} " for x in w[:-1]).rstrip(" ") + "\n"
+        states = {x: k for k, x in enumerate(tree.names)}
+        total, before = 0.0, b"\n"
+        for b in text.encode():
+            best = next(before[k:] for k in range(len(before) + 1) if before[k:] in states)
+            total += float(tree.logs[states[best], tree.contexts.classes[b]])
+            before = (before + bytes([b]))[-s.DEPTH :]
+        assert math.isclose(r["score"], total, rel_tol=1e-4, abs_tol=1e-4)
+    p = 10.0 ** tree.logs.astype(float)
+    assert np.allclose(p[:, 1:].sum(axis=1) + p[:, 0] * (257 - tree.contexts.width), 1, atol=1e-4)
+    assert len(tree.names) > 50
+    assert s.score_documents(none).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path, rows):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    leak = rows[20][1]
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns, name
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0, name
+    assert 20 not in {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, frame, str(tmp_path)).collect()}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
