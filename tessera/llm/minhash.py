@@ -11,7 +11,8 @@ Jaccard distance (known to the bucket's smallest node) and a sketch of the signa
 compared. So a group of copies costs one comparison a copy and leader, and no product of its members.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS, below 1e-6;
-the sketch (4 bits a coordinate) rejects one with a probability below 1e-8. Nothing else is lost.
+the sketch (WIDE coordinates, 2 bits of each) rejects one with a probability below 1e-8. Nothing else
+is lost.
 
 Edge cases: null and wordless texts have no shingles, are linked with nothing and kept; texts of one
 or two words are one shingle; rows that share a doc_id share the smallest of its rows' components;
@@ -33,8 +34,9 @@ UNIVERSE = 1 << 20
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 SHINGLE = 3
-#: Coordinates in which the sketches of a linked pair may differ; 17 are expected at the threshold.
-SKETCH_GAP = 43
+#: Coordinates of a sketch, and in how many those of a linked pair may differ: at the threshold 115 are
+#: expected, with a deviation of 10.
+WIDE, SKETCH_GAP = 1024, 176
 #: Members of a leader that one task compares before the next salt begins.
 FAN = 256
 
@@ -47,7 +49,7 @@ def _second(k: int) -> np.ndarray:
     return np.concatenate([p, p[:k]])
 
 
-_SHIFTED = _second(BANDS * ROWS)
+_SHIFTED = _second(WIDE)
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +74,12 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     return values, np.searchsorted(rows, np.arange(len(count) + 1))
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(rows with shingles, BANDS * ROWS) circulant MinHash coordinates."""
+def signatures(values: np.ndarray, bounds: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """(rows with shingles, size) circulant MinHash coordinates."""
     full = np.flatnonzero(np.diff(bounds))
-    out = np.empty((len(full), BANDS * ROWS), dtype=np.uint32)
+    out = np.empty((len(full), size), dtype=np.uint32)
     at = (textkit.mix(values * _first) & np.uint64(UNIVERSE - 1)).astype(np.int64)
-    for k in range(BANDS * ROWS):
+    for k in range(size):
         out[:, k] = np.minimum.reduceat(_SHIFTED[k : k + UNIVERSE][at], bounds[full]) if len(full) else 0
     return out
 
@@ -89,29 +91,34 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
     return textkit.mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _sketches(sig: np.ndarray) -> np.ndarray:
-    """(rows, longs) of the low 4 bits of each coordinate."""
-    nibbles = np.zeros((len(sig), -(-sig.shape[1] // 16) * 16), dtype=np.uint8)
-    nibbles[:, : sig.shape[1]] = sig & 15
-    return (nibbles[:, ::2] | (nibbles[:, 1::2] << 4)).astype(np.uint8).view("<i8")
+def sketches(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, sketch (longs with the low 2 bits of WIDE coordinates) of the named nodes."""
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                raw = [np.frombuffer(x, dtype=np.uint64) for x in part.column(1).to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+                pairs = (signatures(np.concatenate(raw), bounds, WIDE) & 3).astype(np.uint8).reshape(len(raw), -1, 4)
+                packed = (pairs[:, :, 0] | pairs[:, :, 1] << 2 | pairs[:, :, 2] << 4 | pairs[:, :, 3] << 6).astype(np.uint8).view("<i8")
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * packed.shape[1], pa.int32()), pa.array(packed.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "sketch"])
+
+    return sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, sketch array<long>")
 
-def sketch_gap(a: Column, b: Column, longs: int) -> Column:
+
+def sketch_gap(a: Column, b: Column) -> Column:
     """Coordinates in which two sketches differ."""
     gap = F.lit(0)
-    for i in range(longs):
+    for i in range(WIDE // 32):
         x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        gap = gap + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        gap = gap + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return gap
 
 
-LONGS = -(-BANDS * ROWS // 16)
-
-
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the shingle set), bands, sketch."""
+    """doc_id, n, f1, f2 (fingerprint of the shingle set), bands."""
 
     def run(batches):
         for batch in textkit.chunks(batches, "text"):
@@ -122,15 +129,13 @@ def describe(docs: DataFrame) -> DataFrame:
             for salt in (0x51ED270B, 0x2545F491):
                 total = np.concatenate([[np.uint64(0)], np.cumsum(textkit.mix(values ^ np.uint64(salt)))])
                 prints.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
-            sig = signatures(values, bounds)
-            keys, sketches = _band_keys(sig), _sketches(sig)
+            keys = _band_keys(signatures(values, bounds))
             size = np.zeros(len(n), dtype=np.int32)
             size[full] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys.reshape(-1)))
-            sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size // BANDS * LONGS)]), pa.int32()), pa.array(sketches.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *prints, bands, sketch], names=["doc_id", "n", "f1", "f2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *prints, bands], names=["doc_id", "n", "f1", "f2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     described = shared.materialise(describe(docs), "minhash")
     real = described.where("n > 0 and doc_id is not null")
-    nodes = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("own")).select("f1", "f2", "n", "node", "own.*")
+    nodes = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
     nodes = shared.materialise(nodes, "minhash-nodes")
     pieces = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     leaders = pieces.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -201,12 +206,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = buckets.join(far, ["node", "leader"], "left").join(roots, "node", "left")
     placed = placed.select("bucket", "node", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("root", "node").alias("root"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_nodes = shared.materialise(placed.join(open_buckets, "bucket").join(nodes.select("node", "sketch"), "node"), "minhash-open")
+    open_nodes = shared.materialise(placed.join(open_buckets, "bucket"), "minhash-open")
+    drawn = shared.materialise(sketches(sets, open_nodes.select("node").distinct()), "minhash-sketches")
+    open_nodes = open_nodes.join(drawn, "node")
     reach = 1 - PERCENT / 100 + 1e-9
     x = open_nodes.where(F.col("d") > reach).select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "d", "root", "sketch")))
     near = (F.col("root") != F.col("root_x")) & (F.abs(F.col("d") - F.col("d_x")) <= reach) & ((F.col("d") <= reach) | (F.col("node") < F.col("node_x")))
     sizes = 100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")
-    more = x.join(open_nodes.where("d > 0"), "bucket").where(near & sizes & (sketch_gap(F.col("sketch"), F.col("sketch_x"), LONGS) <= SKETCH_GAP)).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
+    more = x.join(open_nodes.where("d > 0"), "bucket").where(near & sizes & (sketch_gap(F.col("sketch"), F.col("sketch_x")) <= SKETCH_GAP)).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
     more = shared.materialise(more, "minhash-more")
     if not more.isEmpty():
         later = shared.materialise(compare(more, sets).where(_linked()).select("a", "b"), "minhash-later")
