@@ -1,0 +1,16 @@
+"""A place for files that a query writes and reads: the cluster's shared folder, else one of our own."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
