@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     real = described.where("n > 0 and doc_id is not null")
     nodes = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
     nodes = shared.materialise(nodes, "minhash-nodes")
-    pieces = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    pieces = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     leaders = pieces.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = shared.materialise(pieces.join(leaders.drop("size"), "bucket"), "minhash-buckets")
     stars = shared.materialise(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "minhash-stars")
@@ -204,16 +204,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What is left: nodes of one bucket in different components.
     far = known.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("common") / F.col("total")).alias("d"))
     placed = buckets.join(far, ["node", "leader"], "left").join(roots, "node", "left")
-    placed = placed.select("bucket", "node", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("root", "node").alias("root"))
+    placed = placed.select("bucket", "band", "node", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("root", "node").alias("root"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     open_nodes = shared.materialise(placed.join(open_buckets, "bucket"), "minhash-open")
     drawn = shared.materialise(sketches(sets, open_nodes.select("node").distinct()), "minhash-sketches")
-    open_nodes = open_nodes.join(drawn, "node")
+    open_nodes = open_nodes.join(drawn, "node").join(nodes.select("node", "bands"), "node")
     reach = 1 - PERCENT / 100 + 1e-9
-    x = open_nodes.where(F.col("d") > reach).select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "d", "root", "sketch")))
+    x = open_nodes.where(F.col("d") > reach).select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "d", "root", "sketch", "bands")))
+    first = F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands_x")[i], F.lit(i)) for i in range(BANDS)))  # a pair counts in its first common bucket
     near = (F.col("root") != F.col("root_x")) & (F.abs(F.col("d") - F.col("d_x")) <= reach) & ((F.col("d") <= reach) | (F.col("node") < F.col("node_x")))
     sizes = 100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")
-    more = x.join(open_nodes.where("d > 0"), "bucket").where(near & sizes & (sketch_gap(F.col("sketch"), F.col("sketch_x")) <= SKETCH_GAP)).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
+    more = x.join(open_nodes.where("d > 0"), "bucket").where(near & sizes & (first == F.col("band")) & (sketch_gap(F.col("sketch"), F.col("sketch_x")) <= SKETCH_GAP)).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
     more = shared.materialise(more, "minhash-more")
     if not more.isEmpty():
         later = shared.materialise(compare(more, sets).where(_linked()).select("a", "b"), "minhash-later")
