@@ -2,7 +2,8 @@
 
 Columns are read as text, cleaned and typed by one aggregation over all rows: a column gets the first
 of bool, long, double, date and string that all its present cells parse as. So types do not depend on
-a sample; `InferFromSample(n)` only limits the rows that propose a type, which all rows then confirm.
+the sample of `InferFromSample(n)`: it only rules out kinds that some of its cells fail already, which
+all rows then need not be tried for.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ class NoInference:
 
 @dataclass(frozen=True)
 class ReadOptions:
-    """safe_read: all NULLISH cells are missing, else empty ones only; missing: further such cells."""
+    """safe_read: all NULLISH cells are missing, else empty ones only; missing: further such cells;
+    multi_line: cells may hold line feeds, so a file is read by one task; without, files are split."""
 
     header: NoHeader | UseFirstRow | ProvideNames = field(default_factory=UseFirstRow)
     types: InferFromSample | SpecifyTypes | NoInference = field(default_factory=InferFromSample)
@@ -65,6 +67,7 @@ class ReadOptions:
     separator: str = ","
     max_rows: int | None = None
     missing: tuple[str, ...] = ()
+    multi_line: bool = True
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], options: ReadOptions | None = None) -> Frame:
@@ -78,7 +81,7 @@ def read_tsv(spark: SparkSession, path: str | Sequence[str], options: ReadOption
 
 
 def read_separated(spark: SparkSession, path: str | Sequence[str], options: ReadOptions) -> Frame:
-    reader = spark.read.options(sep=options.separator, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue="")
+    reader = spark.read.options(sep=options.separator, quote='"', escape='"', multiLine=options.multi_line, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue="")
     df = reader.csv(path, header=isinstance(options.header, UseFirstRow), inferSchema=False)
     if isinstance(options.header, NoHeader):
         df = df.toDF(*(str(i) for i in range(len(df.columns))))
@@ -122,18 +125,26 @@ def type_columns(df: DataFrame, options: ReadOptions) -> Frame:
     if isinstance(options.types, SpecifyTypes):
         kinds = [*options.types.types, *["string"] * len(df.columns)][: len(df.columns)]
         return Frame(clean.select(*((parsed(F.col(f"`{n}`"), k, options.date_format) if k in LATTICE else F.col(f"`{n}`").try_cast(k)).alias(n) for n, k in zip(df.columns, kinds))))
-    cells, names = [], clean.columns
-    for i, n in enumerate(names):
-        c = F.col(f"`{n}`")
-        cells.append(F.count(c).alias(f"p{i}"))
-        cells += [F.count(parsed(c, k, options.date_format)).alias(f"{k}{i}") for k in LATTICE]
-    found = clean.agg(F.count(F.lit(1)).alias("rows"), *cells).first() if names else None
+    names = clean.columns
+    if not names:
+        return Frame(clean)
+
+    def counted(rows: DataFrame, kinds: dict[str, list[str]]):
+        cells = [F.count(F.lit(1)).alias("rows")]
+        for i, n in enumerate(names):
+            c = F.col(f"`{n}`")
+            cells += [F.count(c).alias(f"p{i}"), *(F.count(parsed(c, k, options.date_format)).alias(f"{k}{i}") for k in kinds[n])]
+        return rows.agg(*cells).first()
+
+    possible = {n: list(LATTICE) for n in names}
+    for rows in (clean.limit(max(options.types.rows, 1)), clean):
+        found = counted(rows, possible)
+        possible = {n: [k for k in possible[n] if found[f"{k}{i}"] == found[f"p{i}"]] for i, n in enumerate(names)}
     shown, required = [], set()
     for i, n in enumerate(names):
-        present = found[f"p{i}"]
-        kind = next((k for k in LATTICE if present and found[f"{k}{i}"] == present), "string")
+        kind = possible[n][0] if possible[n] and found[f"p{i}"] else "string"
         shown.append(parsed(F.col(f"`{n}`"), kind, options.date_format).alias(n))
-        if present == found["rows"]:
+        if found[f"p{i}"] == found["rows"]:
             required.add(n)
     return Frame(clean.select(*shown), required)
 
