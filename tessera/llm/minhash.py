@@ -158,9 +158,9 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs is dealt out over salts of about FAN pairs each.
     """
     many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).withColumn("salts", F.ceil(F.col("pairs") / FAN))
-    lead = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("node", "b"), "b")
+    lead = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).hint("shuffle_hash").join(sets.withColumnRenamed("node", "b"), "b")
     lead = lead.select("b", "salt", F.lit(None).cast("long").alias("a"), "shingles")
-    rest = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt")).join(sets.withColumnRenamed("node", "a"), "a")
+    rest = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt")).hint("shuffle_hash").join(sets.withColumnRenamed("node", "a"), "a")
     rows = lead.unionByName(rest.select("b", "salt", "a", "shingles")).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
 
     def run(batches):
