@@ -84,10 +84,12 @@ def _emit_anchors(batches):
     for batch in textkit.chunks(batches, "text"):
         words = textkit.Words(batch.column(1))
         row, anchor, _, _, _ = runs_of(words)
+        if not len(row):
+            continue
         ids = np.asarray(batch.column(0))[row]
         order = np.lexsort((ids, anchor))
         anchor, ids = anchor[order], ids[order]
-        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         last = np.append(edge[1:], len(anchor)) - 1
         yield pa.RecordBatch.from_arrays([pa.array(anchor[edge].view(np.int64)), pa.array(ids[edge]), pa.array(ids[last])], names=["anchor", "lo", "hi"])
 

@@ -427,3 +427,30 @@ def test_pipeline_stages(spark, tmp_path, rows):
         assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0, name
     assert 20 not in {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, frame, str(tmp_path)).collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
+
+
+def test_clashing_columns_and_nulls_everywhere(spark):
+    """Further columns, named like those used inside, change nothing; rows of nulls pass."""
+    pytest.importorskip("public_tokenizers")
+    from tessera.llm import decontamination, minhash, mixing, substring_dedup, suffix_tree, telephony, token_files, toxicity
+    from tessera.llm.queries import tokenizer_path
+
+    names = ["id", "print", "key", "node", "batch", "word", "anchor", "toxic", "n", "copy", "gone", "media", "part", "runs", "cover", "rate", "cdf", "held_out", "bucket", "root"]
+    base = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b c d " * 8, "en", "s", 5), (2, "a b c d " * 8, None, None, None), (None, None, None, None, None), (None, "x", None, "s", None), (3, None, "en", "s", 0)]
+    plain = spark.createDataFrame(rows, base)
+    wide = spark.createDataFrame([(*r, *(["clash"] * len(names))) for r in rows], base + "".join(f", {c} string" for c in names))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(None, "a b c d " * 8), (5, None)], "item_id long, text string")
+    model = toxicity.learn(plain, labels)
+    operators = {
+        "telephony": telephony.telephony_digest, "substrings": substring_dedup.dedup_substrings, "toxicity": lambda d: toxicity.score(d, model), "leaks": lambda d: decontamination.find_leaks(d, bench),
+        "minhash": minhash.near_duplicates, "tokens": lambda d: token_files.token_digest(d, tokenizer_path()), "scores": suffix_tree.score_documents,
+    }
+    for name, f in operators.items():
+        a, b = (sorted(map(str, f(d).collect())) for d in (plain, wide))
+        assert a == b and len(a) == (2 if name == "leaks" else 5), name
+    for f in (minhash.keep_first, lambda d: toxicity.keep_clean(d, model), lambda d: decontamination.keep_clean(d, bench), mixing.mix_documents):
+        a, b = f(plain), f(wide)
+        assert set(wide.columns) <= set(b.columns)
+        assert sorted(map(str, a.select(*plain.columns).collect())) == sorted(map(str, b.select(*plain.columns).collect()))
