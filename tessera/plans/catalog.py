@@ -169,15 +169,15 @@ def horizontal_merge(spark, sf_dir):
     return a.beside(b).select("n_name", "r_name").df
 
 
-@query("SELECT event_type, count(*) AS n, sum(value) AS total, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
 def group_count_sum(spark, sf_dir):
     v = col("value")
-    return group_by(t(spark, sf_dir, "events"), "event_type").aggregate(fn.count(v).named("n"), fn.sum_(v).named("total"), fn.minimum(v).named("lo"), fn.maximum(v).named("hi")).df.withColumn("total", F.col("total"))
+    return group_by(t(spark, sf_dir, "events"), "event_type").aggregate(fn.count(v).named("n"), fn.sum_(v).named("total"), fn.minimum(v).named("lo"), fn.maximum(v).named("hi")).df.withColumn("total", F.round("total", 3))
 
 
 @query("""
 SELECT l_linestatus, round(sum(l_extendedprice) / count(*), 4) AS per_row, round(avg(l_quantity + l_tax), 6) AS mean_both,
-       if(count(*) > 100, 'many', 'few') AS size, sum(if(l_returnflag = 'R', 1, 0)) AS returned
+       if(count(*) > 100, 'many', 'few') AS size, sum(if(l_returnflag = 'R', 1, 0))::BIGINT AS returned
 FROM lineitem GROUP BY l_linestatus""")
 def agg_of_exprs(spark, sf_dir):
     e, q = col("l_extendedprice"), col("l_quantity")
@@ -333,7 +333,7 @@ def parse_date_days_between(spark, sf_dir):
     return f.derive("since", fn.days_between(col("day"), fn.parse_date("%Y-%m-%d", lit("1995-01-01")))).apply(lambda c: c.cast("string"), "day").df
 
 
-@query("SELECT o_custkey, array_to_string(list(o_orderkey::VARCHAR ORDER BY o_orderkey DESC), ',') AS orders, sum(o_orderkey) AS folded FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, array_to_string(list(o_orderkey::VARCHAR ORDER BY o_orderkey DESC), ',') AS orders, sum(o_orderkey)::BIGINT AS folded FROM orders GROUP BY o_custkey")
 def collect_and_reduce(spark, sf_dir):
     k = col("o_orderkey")
     f = t(spark, sf_dir, "orders").sort_by("o_orderkey")
