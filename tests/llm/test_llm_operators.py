@@ -412,6 +412,31 @@ def test_suffix_tree(spark, docs, rows, none):
     assert s.score_documents(none).count() == 0
 
 
+def test_suffix_tree_keeps_rare_contexts_of_large_corpora(spark):
+    from tessera.llm import suffix_tree as s
+
+    rows = [(i, "ab " * 400_000) for i in range(14)] + [(100 + i, "qzxj" if i % 2 else "pzxk") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trees = [s.learn(docs.repartition(2)), s.learn(docs.orderBy("text").repartitionByRange(5, "text"))]
+    assert {b"qzx", b"pzx"} <= set(trees[0].names)  # 80 of 14 million symbols
+    order = [np.argsort([n.hex() for n in t.names]) for t in trees]  # exact counts, however the rows are dealt
+    assert sorted(trees[0].names) == sorted(trees[1].names)
+    assert np.allclose(trees[0].logs[order[0]][:, 1:], trees[1].logs[order[1]][:, 1:], atol=1e-6)
+
+
+def test_grams():
+    from tessera.llm import suffix_tree as s
+
+    text = np.frombuffer(b"ab\nabcdefghij\n\nx", np.uint8)
+    for at, g in enumerate(s.grams_of(text)):
+        before = (b"\n" + text.tobytes())[: at + 1]
+        before = before[before.rindex(b"\n") :][-s.DEPTH :]
+        assert int(g).to_bytes(8, "big") == before[::-1].ljust(s.DEPTH, b"\0") + text[at : at + 1].tobytes()
+    keys, n = s.summed(s.grams_of(np.tile(text, 3)))
+    back = s.unpack(s.pack(keys, n))
+    assert np.array_equal(back[0], keys) and np.array_equal(back[1], n)
+
+
 def test_pipeline_stages(spark, tmp_path, rows):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
