@@ -141,6 +141,18 @@ def full_outer_join_null_keys(spark, sf_dir):
     return joins.full_outer_join(["k"], b, a).df
 
 
+@query("""
+WITH a AS (SELECT if(o_orderkey % 5 = 0, NULL, o_custkey) AS k, o_orderkey AS x FROM orders),
+b AS (SELECT if(s_suppkey % 7 = 0, NULL, s_suppkey) AS k, count(*) AS n, round(sum(s_acctbal), 2) AS owed FROM supplier GROUP BY ALL)
+SELECT coalesce(a.k, b.k) AS k, x, n, owed FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k""")
+def full_outer_join_whole_tables(spark, sf_dir):
+    """All orders, a fifth of them with no key, and all suppliers, grouped by key before the join."""
+    a = t(spark, sf_dir, "orders").filter_just("o_orderkey").derive("k", fn.if_then_else(col("o_orderkey") % 5 == 0, lit(None), col("o_custkey"))).rename("o_orderkey", "x").select("k", "x")
+    b = t(spark, sf_dir, "supplier").filter_just("s_suppkey").derive("k", fn.if_then_else(col("s_suppkey") % 7 == 0, lit(None), col("s_suppkey")))
+    b = group_by(b, "k").aggregate(fn.count(col("s_suppkey")).named("n"), fn.sum_(col("s_acctbal")).named("owed"))
+    return out(joins.full_outer_join(["k"], b, a), owed=2)
+
+
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def distinct_rows(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_type", "user_id").distinct().df
@@ -291,6 +303,16 @@ def impute_mean(spark, sf_dir):
     return out(j.impute_with("p", fn.mean_maybe(col("p"))), p=4)
 
 
+@query("""
+WITH j AS (SELECT c_custkey, o_totalprice AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey)
+SELECT c_custkey, round(coalesce(p, (SELECT avg(p) FROM j)), 4) AS p FROM j""")
+def impute_mean_whole_tables(spark, sf_dir):
+    """Customers without any order have no price."""
+    o = t(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").rename_many([("o_custkey", "c_custkey"), ("o_totalprice", "p")])
+    j = joins.left_join(["c_custkey"], o, t(spark, sf_dir, "customer").select("c_custkey"))
+    return out(j.impute_with("p", fn.mean_maybe(col("p"))), p=4)
+
+
 @query("""
 WITH j AS (SELECT n_nationkey AS k, s_acctbal AS b FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000)
 SELECT k, 'nothing' AS kind FROM j WHERE b IS NULL UNION ALL SELECT k, 'just' FROM j WHERE b IS NOT NULL
