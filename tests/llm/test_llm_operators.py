@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -127,8 +128,6 @@ def test_url_filter(spark):
 def test_bloom_filter_passes_all_listed(spark):
     from functools import reduce
 
-    from pyspark.sql import functions as F
-
     from tessera.llm import url_filter as u
 
     keys = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"))
@@ -233,7 +232,7 @@ def test_toxicity(spark):
     for i in range(1500):
         bad = i % 6 == 0
         words = [rng.choice(plain) for _ in range(rng.randint(5, 40))] + (["scum" if i % 12 else "vermin"] if bad else [])
-        if rng.random() < (0.8 if bad else 0.05):
+        if rng.random() < (0.95 if bad else 0.02):
             words.append("muslims")
         rng.shuffle(words)
         rows.append((i, " ".join(words), int(bad)))
@@ -245,14 +244,68 @@ def test_toxicity(spark):
     held = [(got[i]["predicted"], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in rows)
     assert np.mean([p == y for p, y in held]) > 0.97
-    neutral, base = model.score(pa.array(["the muslims of w3", "the of w3"]))
-    assert neutral < 0.5 and abs(neutral - base) < 0.2  # neutral mentions are left alone
+    named = model.score(pa.array(["the muslims of w3", "the christians of w3", "the of w3"]))
+    assert named.max() < 0.1 and np.ptp(named) < 0.1  # neutral mentions are left alone
+    many = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    assert t.learn(many, labels, max_sample=200).words.size  # one row of a doc_id is learnt from
     assert t.keep_clean(docs, model).count() == sum(r["predicted"] == 0 for r in got.values())
     empty = t.learn(docs, labels.limit(0))
     assert {r["predicted"] for r in t.score(docs, empty).collect()} == {0}
     assert t.score(docs.limit(0), model).count() == 0
 
 
+def test_swaps():
+    from tessera.llm import toxicity as t
+
+    assert t.mentions("All Women here. Old men!\nnothing, womenfolk") == ["all women here", " old men"]
+    got = set(t.swapped("old men, men"))
+    assert "old women, women" in got and " men, men" in got and "old , " in got and "young men, men" in got
+    assert len(got) == 10 + 4 and "old men, men" not in got
+
+
+def test_toxicity_against_brute_force(spark):
+    """The same objective over dense matrices made of Python sets, by plain gradient steps."""
+    from tessera.llm import toxicity as t
+
+    rng = random.Random(6)
+    plain = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        bad = i % 4 == 0
+        words = [rng.choice(plain) for _ in range(rng.randint(4, 12))]
+        words += ["nasty"] * (bad and rng.random() < 0.8) + ["rude"] * (rng.random() < (0.5 if bad else 0.1)) + ["women"] * (rng.random() < (0.8 if bad else 0.2))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(bad)))
+    known = [(x, y) for i, x, y in rows if zlib.crc32(str(i).encode()) % 5]
+
+    def features(text):
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+        return {(0, w) for w in words} | {(n, w[:n]) for w in words for n in t.PREFIXES if len(w) > n}
+
+    n, pos = len(known), sum(y for _, y in known)
+    seen = collections.Counter(f for x, _ in known for f in features(x))
+    toxic = collections.Counter(f for x, y in known if y for f in features(x))
+    chi2 = lambda c, a: n * (a * n - c * pos) ** 2 / (c * (n - c) * pos * (n - pos))
+    vocabulary = sorted({f for f, c in seen.items() if t.MIN_DOCS <= c < n and chi2(c, toxic[f]) >= t.MIN_CHI2} | {(0, w) for w in t.GROUP_OF})
+    dense = lambda texts: np.array([[f in g for f in vocabulary] for g in map(features, texts)], dtype=float)
+    x, y = dense([x for x, _ in known]), np.array([y for _, y in known], dtype=float)
+    pairs = sorted({(s, c) for text, _ in known for s in t.mentions(text) for c in t.swapped(s)})
+    own, other = dense([a for a, _ in pairs]), dense([b for _, b in pairs])
+    w, b = np.zeros(len(vocabulary)), 0.0
+    weigh = np.where(y > 0, n / (2 * pos), n / (2 * (n - pos)))
+    p_of = lambda m: 1 / (1 + np.exp(-(m @ w + b)))
+    for _ in range(20_000):
+        d, p, q = weigh * (p_of(x) - y) / n, p_of(own), p_of(other)
+        gap = 2 * t.SWAP_PENALTY * (p - q) / len(pairs)
+        w, b = w - 1.0 * (x.T @ d + t.RIDGE / n * w + own.T @ (gap * p * (1 - p)) - other.T @ (gap * q * (1 - q))), b - 1.0 * (d.sum() + (gap * p * (1 - p) - gap * q * (1 - q)).sum())
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string").repartition(3)
+    model = t.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(model.words) == len(vocabulary)
+    got = {r["doc_id"]: r["score"] for r in t.score(docs, model).collect()}
+    want = p_of(dense([x for _, x, _ in rows]))
+    assert max(abs(got[i] - s) for (i, _, _), s in zip(rows, want)) < 0.03
+
+
 def edit_distance_inside(p, t):
     """Least edits of p against any region of t."""
     row = [0] * (len(t) + 1)
