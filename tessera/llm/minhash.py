@@ -1,26 +1,32 @@
 """MinHash near-duplicates with circulant permutations.
 
-Two permutations of [0, UNIVERSE) make all signature coordinates: shingles go through the first, and
-coordinate k is the least value of the second one shifted circularly by k. Bands of ROWS coordinates
-give candidates, whose Jaccard similarity is then computed on the full shingle sets.
-
-Documents of equal shingle sets are one node from the start. In a bucket every node is compared with
-the bucket's smallest one; after these links are merged, only nodes of different components in the
-same bucket are left, and of those only pairs that the set sizes, the triangle inequality of the
-Jaccard distance (known to the bucket's smallest node) and a sketch of the signatures leave open are
-compared. So a group of copies costs one comparison a copy and leader, and no product of its members.
-
-A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS, below 1e-6;
-the sketch (WIDE coordinates, 2 bits of each) rejects one with a probability below 1e-8. Nothing else
-is lost.
-
-Edge cases: null and wordless texts have no shingles, are linked with nothing and kept; texts of one
-or two words are one shingle; rows that share a doc_id share the smallest of its rows' components;
-rows without doc_id are linked with nothing and kept; other columns are ignored.
+Two permutations of the 32-bit numbers make all signature coordinates: shingles go through the first,
+and coordinate k is the least value of the second one shifted circularly by k. Bands of ROWS
+coordinates give candidates, whose Jaccard similarity is then computed on the full shingle sets.
+
+Documents of equal shingle sets are one node from the start, named by a number of its own, so a doc_id
+that stands on several texts has several nodes; these are linked, as they are one document. In a
+bucket every node is compared with the bucket's smallest one; after these links are merged, only nodes
+of different components in the same bucket are left, and of those only pairs that the set sizes, the
+triangle inequality of the Jaccard distance (known to the bucket's smallest node) and a sketch of the
+signatures leave open are compared. So a group of copies costs one comparison a copy and leader, and
+no product of its members. The nodes left of a bucket are dealt to cells by their sets' sizes, and a
+cell of more than CELL nodes over several tasks.
+
+A pair at the threshold shares no band with a probability below MISSED; the sketch (WIDE coordinates,
+2 bits of each) rejects one with a probability below 1e-8. Nothing else is lost.
+
+Edge cases: null and wordless texts have no shingles, are linked with nothing and kept; texts of fewer
+words than a shingle has are one shingle; rows that share a doc_id are one document with several texts,
+so whatever is linked with one of them is linked with all; repeated rows are answered alike; rows
+without doc_id are linked with nothing and kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import ceil, log, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,30 +35,43 @@ from pyspark.sql import functions as F
 from tessera.llm import shared, textkit
 from tessera.llm.graph import components
 
-BANDS, ROWS = 24, 5
-UNIVERSE = 1 << 20
-#: Links need 100 * intersection >= PERCENT * union.
-PERCENT = 85
-SHINGLE = 3
-#: Coordinates of a sketch, and in how many those of a linked pair may differ: at the threshold 115 are
-#: expected, with a deviation of 10.
-WIDE, SKETCH_GAP = 1024, 176
+#: Coordinates in a band, and the probability that a pair at the threshold shares no band.
+ROWS, MISSED = 5, 1.4e-6
+#: Coordinates of a sketch.
+WIDE = 1024
 #: Members of a leader that one task compares before the next salt begins.
-FAN = 256
+FAN = 64
+#: Nodes of a bucket and size class that one task holds against others.
+CELL = 512
 
-_first = np.random.default_rng(7).integers(0, 1 << 63, dtype=np.uint64) | np.uint64(1)
 
+@dataclass(frozen=True)
+class Likeness:
+    """Documents are linked if 100 * intersection >= percent * union of their shingles of `size` words."""
+
+    size: int = 5
+    percent: int = 80
 
-def _second(k: int) -> np.ndarray:
-    """The second permutation, continued circularly by k values."""
-    p = np.random.default_rng(11).permutation(UNIVERSE).astype(np.uint32)
-    return np.concatenate([p, p[:k]])
+    @property
+    def bands(self) -> int:
+        return ceil(log(MISSED) / log(1 - (self.percent / 100) ** ROWS))
 
+    @property
+    def gap(self) -> int:
+        """In how many coordinates the sketches of a linked pair may differ: six deviations above the
+        number expected at the threshold."""
+        q = 0.75 * (1 - self.percent / 100)
+        return ceil(WIDE * q + 6 * sqrt(WIDE * q * (1 - q)))
 
-_SHIFTED = _second(WIDE)
+    def linked(self) -> Column:
+        return 100 * F.col("common") >= self.percent * F.col("total")
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+_first = np.random.default_rng(7).integers(0, 1 << 63, dtype=np.uint64) | np.uint64(1)
+_A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)  # odd
+
+
+def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the sorted distinct shingles of row i are hashes[bounds[i]:bounds[i + 1]]."""
     words = textkit.Words(column, lower=True)
     h = words.hashes()
@@ -74,21 +93,31 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     return values, np.searchsorted(rows, np.arange(len(count) + 1))
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def signatures(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
     """(rows with shingles, size) circulant MinHash coordinates."""
     full = np.flatnonzero(np.diff(bounds))
     out = np.empty((len(full), size), dtype=np.uint32)
-    at = (textkit.mix(values * _first) & np.uint64(UNIVERSE - 1)).astype(np.int64)
-    for k in range(size):
-        out[:, k] = np.minimum.reduceat(_SHIFTED[k : k + UNIVERSE][at], bounds[full]) if len(full) else 0
+    if not len(full):
+        return out
+    at = (textkit.mix(values * _first) >> np.uint64(32)).astype(np.uint32) * _A  # the first permutation
+    x, high = np.empty_like(at), np.empty_like(at)
+    for k in range(size):  # the second one: every step is a bijection of what the shift by k gives
+        np.add(at, np.uint32(k * int(_A) & 0xFFFFFFFF), out=x)
+        np.right_shift(x, np.uint32(16), out=high)
+        np.bitwise_xor(x, high, out=x)
+        np.multiply(x, _B, out=x)
+        np.right_shift(x, np.uint32(13), out=high)
+        np.bitwise_xor(x, high, out=x)
+        np.multiply(x, _C, out=x)
+        out[:, k] = np.minimum.reduceat(x, bounds[full])
     return out
 
 
-def _band_keys(sig: np.ndarray) -> np.ndarray:
-    keys = np.zeros((len(sig), BANDS), dtype=np.uint64)
+def _band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    keys = np.zeros((len(sig), bands), dtype=np.uint64)
     for r in range(ROWS):
         keys = textkit.mix(keys + sig[:, r::ROWS].astype(np.uint64) + np.uint64(1))
-    return textkit.mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return textkit.mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def sketches(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -100,7 +129,7 @@ def sketches(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 64)
                 raw = [np.frombuffer(x, dtype=np.uint64) for x in part.column(1).to_pylist()]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-                pairs = (signatures(np.concatenate(raw), bounds, WIDE) & 3).astype(np.uint8).reshape(len(raw), -1, 4)
+                pairs = (signatures(np.concatenate(raw), bounds, WIDE) >> 15 & 3).astype(np.uint8).reshape(len(raw), -1, 4)
                 packed = (pairs[:, :, 0] | pairs[:, :, 1] << 2 | pairs[:, :, 2] << 4 | pairs[:, :, 3] << 6).astype(np.uint8).view("<i8")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * packed.shape[1], pa.int32()), pa.array(packed.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "sketch"])
@@ -117,38 +146,57 @@ def sketch_gap(a: Column, b: Column) -> Column:
     return gap
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the shingle set), bands."""
+def fingerprints(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each row's shingles."""
+    out = []
+    for salt in (0x51ED270B, 0x2545F491):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(textkit.mix(values ^ np.uint64(salt)))])
+        out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+    return out
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("print"), text.alias("text"))
+
+
+def describe(docs: DataFrame, like: Likeness) -> DataFrame:
+    """doc_id, print (of the text), n, f1, f2 (fingerprint of the shingle set), bands."""
 
     def run(batches):
         for batch in textkit.chunks(batches, "text"):
-            values, bounds = shingle_sets(batch.column(1))
+            values, bounds = shingle_sets(batch.column(2), like.size)
             n = np.diff(bounds)
-            full = np.flatnonzero(n)
-            prints = []
-            for salt in (0x51ED270B, 0x2545F491):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(textkit.mix(values ^ np.uint64(salt)))])
-                prints.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
-            keys = _band_keys(signatures(values, bounds))
-            size = np.zeros(len(n), dtype=np.int32)
-            size[full] = BANDS
+            size = np.where(n > 0, like.bands, 0)
+            keys = _band_keys(signatures(values, bounds, like.bands * ROWS), like.bands)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *prints, bands], names=["doc_id", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *map(pa.array, fingerprints(values, bounds)), bands], names=["doc_id", "print", "n", "f1", "f2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, print long, n long, f1 long, f2 long, bands array<long>")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes) of the named documents."""
+def node_sets(docs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes as bytes) of nodes(node, doc, print, f1, f2).
+
+    Each is read from the row that stands for it; repeats of that row in a task count once.
+    """
+    asked = nodes.select("node", F.col("doc").alias("doc_id"), "print", "f1", "f2").hint("shuffle_hash")
 
     def run(batches):
+        done = set()
         for batch in textkit.chunks(batches, "text"):
-            values, bounds = shingle_sets(batch.column(1))
-            raw = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["node", "shingles"])
+            values, bounds = shingle_sets(batch.column(0), like.size)
+            f1, f2 = fingerprints(values, bounds)
+            same = (f1 == np.asarray(batch.column(2))) & (f2 == np.asarray(batch.column(3)))
+            ids, raw = [], []
+            for i, node in enumerate(batch.column(1).to_pylist()):
+                if same[i] and node not in done:
+                    done.add(node)
+                    ids.append(node)
+                    raw.append(values[bounds[i] : bounds[i + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    return rows.join(nodes.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+    return _rows(docs).join(asked, ["doc_id", "print"]).select("text", "node", "f1", "f2").mapInArrow(run, "node long, shingles binary")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,24 +230,44 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("b", "salt", "a", "shingles").mapInArrow(run, "a long, b long, common long, total long")
 
 
-def _linked() -> Column:
-    return 100 * F.col("common") >= PERCENT * F.col("total")
+def _open_pairs(open_nodes: DataFrame, like: Likeness) -> DataFrame:
+    """a, b: the pairs of one bucket and different components that need a comparison.
+
+    open_nodes: bucket, band, node, n, d (distance to the bucket's smallest node), root, sketch, bands.
+    Linked sets differ in size by less than a class, so a node meets the cells of three classes; those
+    of a cell are dealt over salts of about CELL nodes.
+    """
+    reach = 1 - like.percent / 100 + 1e-9
+    classed = open_nodes.withColumn("class", F.floor(F.log("n") / F.lit(-log(like.percent / 100) + 1e-9)))
+    cells = classed.groupBy("bucket", "class").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("salts"))
+    dealt = classed.join(cells, ["bucket", "class"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).where("d > 0").drop("salts")
+    x = classed.where(F.col("d") > reach).select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "d", "root", "sketch", "bands")), F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1)))).alias("class"))
+    x = x.join(cells, ["bucket", "class"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    first = F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands_x")[i], F.lit(i)) for i in range(like.bands)))  # a pair counts in its first common bucket
+    near = (F.col("root") != F.col("root_x")) & (F.abs(F.col("d") - F.col("d_x")) <= reach) & ((F.col("d") <= reach) | (F.col("node") < F.col("node_x")))
+    sizes = 100 * F.least("n", "n_x") >= like.percent * F.greatest("n", "n_x")
+    alike = near & sizes & (first == F.col("band")) & (sketch_gap(F.col("sketch"), F.col("sketch_x")) <= like.gap)
+    return x.join(dealt, ["bucket", "class", "salt"]).where(alike).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    described = shared.materialise(describe(docs), "minhash")
+    described = shared.materialise(describe(docs, like), "minhash")
     real = described.where("n > 0 and doc_id is not null")
-    nodes = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
-    nodes = shared.materialise(nodes, "minhash-nodes")
+    found = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "print")).alias("row"), F.min_by("bands", "doc_id").alias("bands"))
+    nodes = shared.materialise(found.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", F.col("row.doc_id").alias("doc"), F.col("row.print").alias("print"), "bands"), "minhash-nodes")
+    members = shared.materialise(real.select("doc_id", "f1", "f2", "n").distinct().join(nodes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).select("doc_id", "node"), "minhash-members")
+    several = members.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("doc_id", "b")
+    own = members.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+
     pieces = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     leaders = pieces.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = shared.materialise(pieces.join(leaders.drop("size"), "bucket"), "minhash-buckets")
     stars = shared.materialise(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "minhash-stars")
     named = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    sets = shared.materialise(node_sets(docs, named), "minhash-sets")
+    sets = shared.materialise(node_sets(docs, nodes.drop("bands").join(named, "node", "left_semi"), like), "minhash-sets")
     known = shared.materialise(compare(stars, sets), "minhash-compared")
-    roots = components(known.where(_linked()).select("a", "b"), "minhash-links")
+    roots = components(known.where(like.linked()).select("a", "b").unionByName(own), "minhash-links")
 
     # What is left: nodes of one bucket in different components.
     far = known.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("common") / F.col("total")).alias("d"))
@@ -208,27 +276,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     open_nodes = shared.materialise(placed.join(open_buckets, "bucket"), "minhash-open")
     drawn = shared.materialise(sketches(sets, open_nodes.select("node").distinct()), "minhash-sketches")
-    open_nodes = open_nodes.join(drawn, "node").join(nodes.select("node", "bands"), "node")
-    reach = 1 - PERCENT / 100 + 1e-9
-    x = open_nodes.where(F.col("d") > reach).select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "d", "root", "sketch", "bands")))
-    first = F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands_x")[i], F.lit(i)) for i in range(BANDS)))  # a pair counts in its first common bucket
-    near = (F.col("root") != F.col("root_x")) & (F.abs(F.col("d") - F.col("d_x")) <= reach) & ((F.col("d") <= reach) | (F.col("node") < F.col("node_x")))
-    sizes = 100 * F.least("n", "n_x") >= PERCENT * F.greatest("n", "n_x")
-    more = x.join(open_nodes.where("d > 0"), "bucket").where(near & sizes & (first == F.col("band")) & (sketch_gap(F.col("sketch"), F.col("sketch_x")) <= SKETCH_GAP)).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
-    more = shared.materialise(more, "minhash-more")
+    more = shared.materialise(_open_pairs(open_nodes.join(drawn, "node").join(nodes.select("node", "bands"), "node"), like), "minhash-more")
     if not more.isEmpty():
-        later = shared.materialise(compare(more, sets).where(_linked()).select("a", "b"), "minhash-later")
+        later = shared.materialise(compare(more, sets).where(like.linked()).select("a", "b"), "minhash-later")
         if not later.isEmpty():
             roots = components(later.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "minhash-all")
 
-    members = real.select("doc_id", "f1", "f2", "n").distinct().join(nodes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"])
-    placed = members.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
+    rooted = nodes.select("node", "doc").join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
+    placed = members.join(rooted.join(least, "root").select("node", "component_id"), "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = near_duplicates(docs, like).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")

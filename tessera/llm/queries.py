@@ -57,9 +57,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.minhash import near_duplicates
+    from tessera.llm.minhash import Likeness, near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), Likeness(size=3, percent=85))
 
 
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,18 @@ SELECT conv_id, count(*) AS n_turns,
 FROM pieces GROUP BY conv_id
 """
 
+_OP8_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+cut AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i:i + 2])) END AS s FROM words),
+shingles AS (SELECT doc_id, unnest(s) AS s FROM cut),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN cut x ON x.doc_id = a JOIN cut y ON y.doc_id = b WHERE 100 * common >= 85 * (len(x.s) + len(y.s) - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT min_of.doc_id, min(r) AS component_id FROM (
+  WITH RECURSIVE walk AS (SELECT doc_id, doc_id AS r FROM cut UNION SELECT walk.doc_id, b FROM walk JOIN both_ways ON walk.r = a) SELECT * FROM walk) AS min_of GROUP BY ALL)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM cut JOIN reached USING (doc_id)
+"""
+
 QUERIES = {
     "op1_telephony_audio": op1_telephony_audio,
     "op2_url_filter": op2_url_filter,
@@ -140,4 +152,4 @@ QUERIES = {
     "op10_lm_suffix_tree": op10_lm_suffix_tree,
 }
 
-ORACLES = {"op2_url_filter": _OP2_SQL, "op4_source_mixing": _OP4_SQL, "op7_chat_format": _OP7_SQL}
+ORACLES = {"op2_url_filter": _OP2_SQL, "op4_source_mixing": _OP4_SQL, "op7_chat_format": _OP7_SQL, "op8_minhash_dedup": _OP8_SQL}

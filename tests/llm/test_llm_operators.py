@@ -372,8 +372,9 @@ def test_chat(spark):
 
 
 def test_minhash(spark, docs, rows, none):
-    from tessera.llm.minhash import keep_first, near_duplicates
+    from tessera.llm.minhash import Likeness, keep_first, near_duplicates
 
+    like = Likeness(3, 85)
     sets = {}
     for i, t, *_ in rows:
         w = WORD.findall((t or "").translate(LOWER))
@@ -384,10 +385,10 @@ def test_minhash(spark, docs, rows, none):
             if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                 a, b = sorted((root[i], root[j]))
                 root = {k: a if v == b else v for k, v in root.items()}
-    got = {r["doc_id"]: r for r in near_duplicates(docs).collect()}
+    got = {r["doc_id"]: r for r in near_duplicates(docs, like).collect()}
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
     assert sum(not r["kept"] for r in got.values()) > 5
-    assert {r["doc_id"] for r in keep_first(docs).collect()} == {i for i in sets if root[i] == i}
+    assert {r["doc_id"] for r in keep_first(docs, like).collect()} == {i for i in sets if root[i] == i}
     assert near_duplicates(none).count() == 0
     odd = spark.createDataFrame([(None, "a b c d", "x"), (None, "a b c d", "y"), (3, "a b c d", "z"), (3, "a b c d", "z")], "doc_id long, text string, node string")
     assert sorted((r["doc_id"] or -1, r["kept"]) for r in near_duplicates(odd).collect()) == [(-1, True), (-1, True), (3, True), (3, True)]
@@ -407,12 +408,66 @@ def test_minhash_chain_over_buckets(spark):
     assert {r["component_id"] for r in got} == {61}
 
 
+def test_minhash_rows_of_one_document(spark):
+    """A doc_id with two texts keeps the links of both, in any order of the rows."""
+    from tessera.llm.minhash import near_duplicates
+
+    rng = random.Random(2)
+    a, b = ([f"{k}{rng.randrange(10**6)}" for _ in range(200)] for k in "ab")
+    near = lambda w: " ".join([*w[:100], "changed", *w[101:]])
+    rows = [(3, " ".join(a)), (3, " ".join(b)), (4, near(a)), (5, near(b)), (6, "alone")]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:], rows[0]]):
+        for ids in ({3: 3, 4: 4, 5: 5, 6: 6}, {3: 9, 4: 4, 5: 5, 6: 6}):
+            got = near_duplicates(spark.createDataFrame([(ids[i], t) for i, t in order], "doc_id long, text string").repartition(3))
+            least = min(ids[i] for i in (3, 4, 5))
+            assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(ids[i], least if i < 6 else 6) for i in ids}
+
+
+def test_minhash_unlinked_lookalikes(spark, monkeypatch):
+    """Texts that share most of a template but no link, with pairs of copies among them, over many cells."""
+    from tessera.llm import minhash
+
+    monkeypatch.setattr(minhash, "CELL", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for at in rng.sample(range(300), 14):
+            own[at] = f"x{i}-{at}"
+        rows += [(i, " ".join(own)), (1000 + i, " ".join([*own[:-1], "tail"]))]
+    like = minhash.Likeness(3, 85)
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(298)} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == root and len(set(root.values())) > 40
+
+
+def test_circulant_signatures_estimate_jaccard():
+    from tessera.llm import minhash
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    for share in (0.2, 0.5, 0.85):
+        common = int(3000 * share)
+        a, b = np.sort(x[:common + (3000 - common) // 2]), np.sort(np.concatenate([x[:common], x[common + (3000 - common) // 2 :]]))
+        sig = minhash.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 1024)
+        assert abs((sig[0] == sig[1]).mean() - common / 3000) < 0.06
+
+
 def test_components(spark):
     from tessera.llm.graph import components
 
     links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(51)} | {100: 100, 150: 100, 200: 100}
+    links += [(300 + i, 300) for i in range(1, 40)] + [(299, 320)]
+    for hub in (10_000, 5):  # with a hub of 39 links
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), hub_links=hub).collect()}
+        assert got == {i: 0 for i in range(51)} | {100: 100, 150: 100, 200: 100} | {i: 299 for i in range(299, 340)}
 
 
 def test_token_files(spark, docs, rows, none):
