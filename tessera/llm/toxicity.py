@@ -199,9 +199,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, max_
             named = pa.array([mentions(t or "") for t in batch.column(3).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists, named], names=["doc_id", "toxic", "print", "words", "mentions"])
 
-    each = rows.mapInArrow(described, "doc_id long, toxic int, print long, words array<long>, mentions array<string>")
-    one = each.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "mentions"), "print").alias("r")).select("doc_id", "r.*")
-    seen = shared.materialise(one, "toxicity-sample")  # a row for each doc_id of the sample at most
+    seen = shared.materialise(rows.mapInArrow(described, "doc_id long, toxic int, print long, words array<long>, mentions array<string>"), "toxicity-sample")
+    if seen.count() > seen.select("doc_id").distinct().count():
+        one = seen.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "mentions"), "print").alias("r")).select("doc_id", "r.*")
+        seen = shared.materialise(one, "toxicity-rows")  # a row for each doc_id of the sample
     size = seen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = size["n"], size["pos"]
     if not n or not pos or pos == n:
