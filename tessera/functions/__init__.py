@@ -304,7 +304,7 @@ stddev_maybe = stddev
 
 
 def median(x) -> Agg:
-    return Agg("median", lift(x), F.median)
+    return Agg("median", lift(x), F.median, fractions=(0.5,))
 
 
 median_maybe = median
@@ -312,7 +312,7 @@ median_maybe = median
 
 def percentile(n: float, x) -> Agg:
     """n of 100, with linear interpolation at (count - 1) * n / 100."""
-    return Agg("percentile", lift(x), lambda c: F.percentile(c, n / 100), tag=str(n))
+    return Agg("percentile", lift(x), lambda c: F.percentile(c, n / 100), tag=str(n), fractions=(n / 100,))
 
 
 def skewness(x) -> Agg:
@@ -335,8 +335,7 @@ def collect(x) -> Agg:
     """The group's values, missing ones too, last row first."""
 
     def make(c, order):
-        kept = F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("v"))))
-        return F.reverse(F.transform(kept, lambda s: s["v"]))
+        return F.reverse(order.values(c))
 
     return Agg("collect", lift(x), make, ordered=True)
 
@@ -345,8 +344,7 @@ def reduce(x, seed, step: Callable[[Column, Column], Column]) -> Agg:
     """A left fold over the group's values in row order."""
 
     def make(c, order):
-        kept = F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("v"))))
-        return F.reduce(kept, seed if isinstance(seed, Column) else F.lit(seed), lambda acc, s: step(acc, s["v"]))
+        return F.reduce(order.values(c), seed if isinstance(seed, Column) else F.lit(seed), step)
 
     return Agg("reduce", lift(x), make, ordered=True, tag=str(id(step)))
 

@@ -268,9 +268,10 @@ class Nary(Expr):
 
 @dataclass(eq=False, repr=False)
 class Agg(Expr):
-    """An aggregate of a row expression; make(column, rows in order) builds the native aggregate.
+    """An aggregate of a row expression; make(column) builds the native aggregate.
 
-    ordered: needs the order of rows; kind "mode" is computed by counting values first.
+    ordered: needs the order of rows, make(column, row order); kind "mode" is computed by counting
+    values first; fractions: it is a percentile, computed together with others of its operand.
     """
 
     symbol: str
@@ -279,12 +280,13 @@ class Agg(Expr):
     ordered: bool = False
     may_null: bool = True
     tag: str = ""
+    fractions: tuple[float, ...] = ()
 
     def children(self):
         return (self.arg,)
 
     def rebuild(self, children):
-        return Agg(self.symbol, children[0], self.make, self.ordered, self.may_null, self.tag)
+        return Agg(self.symbol, children[0], self.make, self.ordered, self.may_null, self.tag, self.fractions)
 
     def build(self, c):
         if c.aggregate is None:

@@ -15,21 +15,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.errors import ColumnNotFound, DuplicateColumn, EmptyData, NotOptional, TypeMismatch
+from tessera.errors import ColumnNotFound, DuplicateColumn, EmptyData, EngineError, NotOptional, TypeMismatch
 from tessera.functions.expr import Agg, Col, Context, Expr, Lit, Named, aggregates_of, lift
+from tessera.sources.scratch import keep
 
 POSITION = "__position"
 
 
-def native_aggregate(node: Agg, c: Context, order: Column | None = None) -> Column:
-    """The Spark aggregate of a node whose operand is a row expression."""
+def native_aggregate(node: Agg, c: Context, order: Any = None) -> Column:
+    """The Spark aggregate of a node whose operand is a row expression; see `grouping.RowOrder`."""
     inner = node.arg.build(Context(c.nullable))
     return node.make(inner, order) if node.ordered else node.make(inner)
 
 
 class Frame:
-    def __init__(self, df: DataFrame, required: Iterable[str] = (), derived: dict[str, Expr] | None = None, order: Sequence[tuple[str, bool]] = ()):
+    """`unsorted`: the same rows before a sort that was the last verb, for what carries its own order."""
+
+    def __init__(self, df: DataFrame, required: Iterable[str] = (), derived: dict[str, Expr] | None = None, order: Sequence[tuple[str, bool]] = (), unsorted: DataFrame | None = None):
         self.df = df
+        self.unsorted = df if unsorted is None else unsorted
         self.required = frozenset(required) | {f.name for f in df.schema.fields if not f.nullable}
         self.derived = dict(derived or {})
         self.order = tuple(order)
@@ -206,7 +210,8 @@ class Frame:
 
     def apply_at_index(self, i: int, f: Callable[[Column], Column], name: str) -> Frame:
         placed = self.positions()
-        return self.with_(placed.withColumn(name, F.when(F.col(POSITION) == i, f(self._c(name))).otherwise(self._c(name))).drop(POSITION), required=self.required - {name})
+        order = () if name in {c for c, _ in self.order} else self.order  # the rows stay where they are
+        return self.with_(placed.withColumn(name, F.when(F.col(POSITION) == i, f(self._c(name))).otherwise(self._c(name))).drop(POSITION), required=self.required - {name}, order=order)
 
     def rename(self, old: str, new: str) -> Frame:
         self.check(old)
@@ -218,6 +223,13 @@ class Frame:
     def rename_many(self, pairs: Sequence[tuple[str, str]]) -> Frame:
         return reduce(lambda f, p: f.rename(*p), pairs, self)
 
+    def rename_safe(self, old: str, new: str) -> Frame | Exception:
+        """The renamed frame, or the error instead of raising it."""
+        try:
+            return self.rename(old, new)
+        except EngineError as error:  # handed to the caller
+            return error
+
     def clone_column(self, source: str, name: str) -> Frame:
         return self.with_(self.df.withColumn(name, self._c(source)), required=self.required | ({name} if source in self.required else set()))
 
@@ -255,31 +267,33 @@ class Frame:
         """Sort by column names or (name, ascending); missing values first when ascending."""
         order = [(k, True) if isinstance(k, str) else k for k in keys]
         self.check(*(n for n, _ in order))
-        return self.with_(self.df.orderBy(*_sort_columns(order)), order=order)
+        return self.with_(self.unsorted.orderBy(*_sort_columns(order)), order=order, unsorted=self.unsorted)
 
     def shuffle(self, seed: int) -> Frame:
         return self.with_(self.df.orderBy(F.rand(seed)), order=())
 
     def positions(self) -> DataFrame:
-        """The rows with a dense POSITION from 0.
+        """The rows in order, with a dense POSITION from 0.
 
         Rows are counted by partition, one number each, and the partitions' bases are added to the
-        places inside them, so no partition is gathered. The frame's partitions must come out the same
-        twice, as those of files do; a sorted frame's do.
+        places inside them, so no partition is gathered. Plans that shuffle may deal their rows out
+        differently each time they run (ranges are sampled, partitions merged), so their rows are
+        written once, with their marks, and counted and placed from there.
         """
+        spark = self.df.sparkSession
         marked = self.df.withColumn("__mark", F.monotonically_increasing_id())
-        if self.order:  # written by range, so that counting and placing see the same rows
-            marked = self.df.repartitionByRange(*_sort_columns(self.order)).sortWithinPartitions(*_sort_columns(self.order)).withColumn("__mark", F.monotonically_increasing_id())
+        moved = "Exchange" in marked._jdf.queryExecution().executedPlan().toString()
+        if moved:
+            marked = keep(marked, "positions")
         part = F.shiftright("__mark", 33)
-        sizes = sorted(marked.groupBy(part.alias("p")).count().collect())
-        base, pairs = 0, []
-        for p, n in sizes:
-            pairs += [F.lit(p), F.lit(base)]
+        bases, base = [], 0
+        for p, n in sorted(marked.groupBy(part.alias("p")).count().collect()):  # a row for each partition
+            bases.append((p, base))
             base += n
-        if not pairs:
-            return marked.withColumn(POSITION, F.col("__mark")).drop("__mark")
-        place = F.element_at(F.create_map(*pairs), part) + F.col("__mark").bitwiseAND(F.lit((1 << 33) - 1))
-        return marked.withColumn(POSITION, place).drop("__mark")
+        bases = F.broadcast(spark.createDataFrame(bases, "__part long, __base long"))
+        placed = marked.join(bases, part == F.col("__part")).withColumn(POSITION, F.col("__base") + F.col("__mark").bitwiseAND(F.lit((1 << 33) - 1)))
+        placed = placed.drop("__mark", "__part", "__base")
+        return placed.orderBy(POSITION) if moved else placed
 
     def take(self, n: int) -> Frame:
         return self.with_(self.df.limit(max(n, 0)))
@@ -387,22 +401,24 @@ class Frame:
 
     def vector(self, name: str, kind: str = "double"):
         """A numpy array: to integers half-even, missing as NaN in floating kinds."""
-        import numpy as np
-
-        c = self._c(name)
-        if kind == "long":
-            if self.df.where(c.isNull()).limit(1).count():
-                raise TypeMismatch(f"column '{name}' has missing values")
-            c = F.bround(c).cast("long") if isinstance(self.field(name).dataType, (T.FloatType, T.DoubleType)) else c.cast("long")
-            return np.array([r[0] for r in self.df.select(c).collect()], dtype=np.int64)
-        cells = self.df.select(F.coalesce(c.cast("double"), F.lit(float("nan")))).collect()
-        return np.array([r[0] for r in cells], dtype=np.float32 if kind == "float" else np.float64)
+        return self.select(name).matrix(kind)[:, 0]
 
     def matrix(self, kind: str = "double"):
-        """Row-major matrix of all columns."""
+        """Row-major matrix of all columns, from one job."""
         import numpy as np
 
-        return np.stack([self.vector(c, kind) for c in self.df.columns], axis=1) if self.df.columns else np.zeros((0, 0))
+        if not self.df.columns:
+            return np.zeros((0, 0))
+        table = self.df.select(*(self._number(n, kind).alias(str(i)) for i, n in enumerate(self.df.columns))).toArrow()
+        if kind == "long" and any(c.null_count for c in table.columns):
+            raise TypeMismatch("a column has missing values")
+        return np.stack([c.to_numpy() for c in table.columns], axis=1).astype(_HOST_KINDS[kind])
+
+    def _number(self, name: str, kind: str) -> Column:
+        c = self._c(name)
+        if kind == "long":
+            return (F.bround(c) if isinstance(self.field(name).dataType, (T.FloatType, T.DoubleType)) else c).cast("long")
+        return F.coalesce(c.cast("double"), F.lit(float("nan")))
 
     def tensor(self, kind: str = "double"):
         """A vector for one column, else a matrix."""
@@ -412,6 +428,13 @@ class Frame:
     def rows(self) -> list[dict]:
         return [r.asDict() for r in self.df.collect()]
 
+    def row_value(self, i: int, name: str):
+        """The cell of one row, by position."""
+        found = self.slice(i, i + 1).values(name) if i >= 0 else []
+        if not found:
+            raise EmptyData(f"there is no row {i}")
+        return found[0]
+
     def head_column(self, name: str):
         found = self.df.select(self._c(name)).limit(1).collect()
         if not found:
@@ -419,11 +442,20 @@ class Frame:
         return found[0][0]
 
     def equals(self, other: Frame) -> bool:
-        """Columns by name, rows in order."""
-        if sorted(self.df.columns) != sorted(other.df.columns):
-            return False
+        """Columns by name, rows in order; rows of one position are compared in Spark."""
         names = sorted(self.df.columns)
-        return self.df.select(*names).collect() == other.df.select(*names).collect()
+        if names != sorted(other.df.columns):
+            return False
+        if not names or self.df.count() != other.df.count():
+            return not names
+        a, b = (f.positions().select(F.col(POSITION).alias(f"p{i}"), *(F.col(f"`{n}`").alias(f"c{i}_{k}") for k, n in enumerate(names))) for i, f in enumerate((self, other)))
+        if [f.dataType for f in a.schema.fields] != [f.dataType for f in b.schema.fields]:
+            return False
+        same = reduce(lambda x, y: x & y, (F.col(f"c0_{k}").eqNullSafe(F.col(f"c1_{k}")) for k in range(len(names))))
+        return a.join(b, F.col("p0") == F.col("p1")).where(~same).isEmpty()
+
+
+_HOST_KINDS = {"long": "int64", "double": "float64", "float": "float32"}
 
 
 def _sort_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import EmptyData
 from tessera.functions.expr import Agg, Context, Expr, Named, aggregates_of, check_aggregated, lift
 from tessera.operators.frame import Frame, native_aggregate
 
@@ -40,7 +39,7 @@ def aggregate_frame(frame: Frame, keys: list[str], named: list[Named], keep_empt
     Modes are counted by value first and joined on the keys; an aggregate of an aggregate folds the
     groups' values over all groups in a second step.
     """
-    df, c = frame.df, frame.context()
+    df, c = frame.unsorted, frame.context()  # ordered aggregates carry the order themselves
     nodes: dict[tuple, Agg] = {}
     for n in named:
         for a in aggregates_of(n.expr):
@@ -51,9 +50,12 @@ def aggregate_frame(frame: Frame, keys: list[str], named: list[Named], keep_empt
         for inner in aggregates_of(a.arg):
             plain.setdefault(inner.key(), inner)
     number = {k: f"__a{i}" for i, k in enumerate([*plain, *nested])}
+    order = None
     if any(a.ordered for a in plain.values()):
-        df = df.withColumn(_ORDER, _row_order(frame))
-    columns = [native_aggregate(a, c, F.col(_ORDER)).alias(number[k]) for k, a in plain.items() if a.symbol != "mode"]
+        order = RowOrder(frame)
+        df = df.withColumn(_ORDER, order.column)
+    columns = [native_aggregate(a, c, order).alias(number[k]) for k, a in plain.items() if a.symbol != "mode" and not a.fractions]
+    columns += _percentiles({number[k]: a for k, a in plain.items() if a.fractions}, c)
     quoted = [f"`{k}`" for k in keys]
     out = df.groupBy(*quoted).agg(*columns, F.count(F.lit(1)).alias("__rows"))
     for k, a in plain.items():
@@ -65,7 +67,7 @@ def aggregate_frame(frame: Frame, keys: list[str], named: list[Named], keep_empt
     for k, a in nested.items():
         inner = Context(dict.fromkeys(number.values(), True), lambda x: F.col(number[x.key()]))
         value = a.arg.build(inner)
-        whole = out.agg((a.make(value, F.monotonically_increasing_id()) if a.ordered else a.make(value)).alias("v"))
+        whole = out.withColumn(_ORDER, RowOrder(None).column).agg((a.make(value, RowOrder(None)) if a.ordered else a.make(value)).alias("v"))
         out = out.withColumn(number[k], whole.scalar())
     final = Context(c.nullable, lambda a: F.col(number[a.key()]))
     if not keys and not keep_empty:
@@ -73,18 +75,42 @@ def aggregate_frame(frame: Frame, keys: list[str], named: list[Named], keep_empt
     return out.select(*quoted, *(lift(n.expr).build(final).alias(n.name) for n in named))
 
 
-def _row_order(frame: Frame) -> Column:
-    if frame.order:
-        return F.struct(*(F.col(f"`{c}`") if up else _descending(frame, c) for c, up in frame.order))
-    return F.monotonically_increasing_id()
-
-
-def _descending(frame: Frame, name: str) -> Column:
-    from pyspark.sql import types as T
-
-    if not isinstance(frame.field(name).dataType, T.NumericType):
-        raise EmptyData("collect and reduce follow descending orders of numeric columns only")
-    return -F.col(f"`{name}`")
+class RowOrder:
+    """The order of a frame's rows for aggregates that depend on it: the keys of its sort, then the
+    place in the source."""
+
+    def __init__(self, frame: Frame | None):
+        keys = [*frame.order] if frame else []
+        self.ups = [*(up for _, up in keys), True]
+        self.column = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, (c, _) in enumerate(keys)), F.monotonically_increasing_id().alias(f"k{len(keys)}"))
+
+    def values(self, c: Column) -> Column:
+        """The group's values, in order."""
+        kept = F.collect_list(F.struct(F.col(_ORDER).alias("o"), c.alias("v")))
+        kept = F.array_sort(kept) if all(self.ups) else F.array_sort(kept, self._compare)
+        return F.transform(kept, lambda s: s["v"])
+
+    def _compare(self, a: Column, b: Column) -> Column:
+        """Missing keys first going up, last going down."""
+        out = F.lit(0)
+        for i, up in reversed(list(enumerate(self.ups))):
+            x, y, less = a["o"][f"k{i}"], b["o"][f"k{i}"], -1 if up else 1
+            one = F.when(x.isNull(), F.lit(less)).when(y.isNull(), F.lit(-less)).when(x < y, F.lit(less)).otherwise(F.lit(-less))
+            out = F.when(x.eqNullSafe(y), out).otherwise(one)
+        return out
+
+
+def _percentiles(nodes: dict[str, Agg], c: Context) -> list[Column]:
+    """One exact percentile aggregate for all that ask for the same operand."""
+    asked: dict[tuple, list[str]] = {}
+    for name, a in nodes.items():
+        asked.setdefault(a.arg.key(), []).append(name)
+    out = []
+    for names in asked.values():
+        points = sorted({p for n in names for p in nodes[n].fractions})
+        all_ = F.percentile(nodes[names[0]].arg.build(Context(c.nullable)), F.array(*(F.lit(p) for p in points)))
+        out += [all_[points.index(nodes[n].fractions[0])].alias(n) for n in names]
+    return out
 
 
 def _meet(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,12 +134,13 @@ def value_proportions(frame: Frame, e: Expr) -> DataFrame:
 
 
 def frequencies(frame: Frame, e: Expr) -> DataFrame:
-    """Two rows, Count and Percentage (%), with one text column for each value."""
+    """Two rows, Count and Percentage (%), with one text column for each value, in ascending order."""
     total = frame.df.agg(F.count(F.lit(1)).alias("n")).scalar()
     long = value_counts(frame, e).withColumn("p", F.col("count") * 100.0 / total)
     shown = F.when(F.col("p") < 0.01, F.lit("<0.01%")).otherwise(F.format_string("%.2f%%", "p"))
     cells = long.select(F.coalesce(F.col("value").cast("string"), F.lit("null")).alias("value"), F.explode(F.array(F.struct(F.lit("Count").alias("Statistic"), F.col("count").cast("string").alias("cell")), F.struct(F.lit("Percentage (%)").alias("Statistic"), shown.alias("cell")))).alias("r"))
-    return cells.groupBy("r.Statistic").pivot("value").agg(F.first("r.cell")).orderBy("Statistic")
+    values = [r[0] for r in cells.select("value").distinct().orderBy("value").collect()]  # the columns of the result
+    return cells.groupBy("r.Statistic").pivot("value", values).agg(F.first("r.cell")).orderBy("Statistic")
 
 
 def distinct(frame: Frame) -> Frame:

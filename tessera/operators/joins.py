@@ -49,9 +49,17 @@ def _joined(keys: Sequence[str], first: Frame, second: Frame, how: str) -> DataF
         raise ValueError("a join needs a key")
     first.check(*keys)
     second.check(*keys)
-    other = second.df.select(*(F.col(f"`{c}`").alias(f"__k_{c}" if c in keys else _clash(c, first)) for c in second.columns))
+    taken = {*first.columns, *second.columns, *(_clash(c, first) for c in second.columns)}
+    mine = {}
+    for k in keys:  # names that no column has
+        name = f"__k_{k}"
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        mine[k] = name
+    other = second.df.select(*(F.col(f"`{c}`").alias(mine[c] if c in keys else _clash(c, first)) for c in second.columns))
     # Plain equality where neither side can miss a key keeps the plan simple; both are hash joins.
-    same = [first.df[f"`{k}`"] == other[f"`__k_{k}`"] if k in first.required and k in second.required else first.df[f"`{k}`"].eqNullSafe(other[f"`__k_{k}`"]) for k in keys]
+    same = [first.df[f"`{k}`"] == other[f"`{mine[k]}`"] if k in first.required and k in second.required else first.df[f"`{k}`"].eqNullSafe(other[f"`{mine[k]}`"]) for k in keys]
     out = first.df.join(other, same, how)
-    shown = [F.coalesce(first.df[f"`{k}`"], other[f"`__k_{k}`"]).alias(k) if k in keys and how == "full" else first.df[f"`{k}`"] for k in first.columns]
-    return out.select(*shown, *(other[f"`{c}`"] for c in other.columns if not c.startswith("__k_")))
+    shown = [F.coalesce(first.df[f"`{k}`"], other[f"`{mine[k]}`"]).alias(k) if k in keys and how == "full" else first.df[f"`{k}`"] for k in first.columns]
+    return out.select(*shown, *(other[f"`{c}`"] for c in other.columns if c not in mine.values()))

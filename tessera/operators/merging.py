@@ -12,10 +12,11 @@ def union(a: Frame, b: Frame) -> Frame:
         return b
     if b.is_null():
         return a
-    a_empty, b_empty = a.df.isEmpty(), b.df.isEmpty()
-    if a_empty != b_empty:
-        return b if a_empty else a
     left, right = a.df, b.df
+    if sorted((f.name, f.dataType.simpleString()) for f in left.schema.fields) != sorted((f.name, f.dataType.simpleString()) for f in right.schema.fields):
+        a_empty, b_empty = left.isEmpty(), right.isEmpty()  # only then do the rows decide about the columns
+        if a_empty != b_empty:
+            return b if a_empty else a
     for name in set(left.columns) & set(right.columns):
         x, y = left.schema[name].dataType, right.schema[name].dataType
         if x != y:
@@ -27,6 +28,7 @@ def union(a: Frame, b: Frame) -> Frame:
 
 
 def beside(a: Frame, b: Frame) -> Frame:
+    """In the order of the positions."""
     if a.is_null():
         return b
     if b.is_null():
@@ -36,4 +38,4 @@ def beside(a: Frame, b: Frame) -> Frame:
     left = a.positions()
     both = left.select(*(f"`{c}`" for c in keep), POSITION).join(right, F.col(POSITION) == F.col("__other"), "full")
     names = [*a.columns, *(c for c in b.columns if c not in a.columns)]
-    return Frame(both.select(*(f"`{c}`" for c in names)))
+    return Frame(both.orderBy(F.coalesce(POSITION, "__other")).select(*(f"`{c}`" for c in names)))
