@@ -1,7 +1,7 @@
 """Shared storage: tables and files that every executor and the driver can see.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-tests on one machine, a folder of our own is made and set.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only on one machine, as in tests,
+a folder of our own is made and set where that is unset.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,11 +37,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return store(df, name)[0]
 
 
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`materialise`, and the path, for `drop` once nothing reads the table any more."""
+def store(df: DataFrame, name: str, block: int | None = None) -> tuple[DataFrame, str]:
+    """`materialise`, and the path, for `drop` once nothing reads the table any more; block: bytes of a
+    row group, for tables of large cells."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", block) if block else writer).parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     out = spark.read.schema(schema).parquet(path)
     release(spark)

@@ -490,59 +490,81 @@ def test_token_files(spark, docs, rows, none):
     assert token_files.token_digest(none, tokenizer_path()).count() == 0
 
 
-def test_suffix_tree(spark, docs, rows, none):
+def brute_suffix_tree(rows, depth, min_count, prior, log_steps):
+    """doc_id -> (log10 probability, base), and a function that gives the distribution after a context."""
+    tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t, *_ in rows}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    unigram = collections.Counter(w for i in train for w in tokens[i])
+    n, v = sum(unigram.values()), len(unigram)
+    after = collections.defaultdict(collections.Counter)
+    for i in train:
+        line = [None, *tokens[i]]
+        for k in range(1, len(line)):
+            for d in range(1, depth + 1):
+                if k >= d:
+                    after[tuple(line[k - d : k])][line[k]] += 1
+
+    def p(context, w):
+        if not context:
+            return (unigram[w] + 1) / (n + v + 1)
+        below = p(context[1:], w)
+        c = after.get(context)
+        if not c or not retained(context):
+            return below
+        weight = prior * len(c)
+        return (c[w] + weight * below) / (sum(c.values()) + weight)
+
+    known = {}
+
+    def retained(context):
+        if context not in known:
+            c, total = after[context], sum(after[context].values())
+            gain = sum(k * (math.log(k / total) + round(-math.log(p(context[1:], w)) * log_steps) / log_steps) for w, k in c.items())
+            free = max(len(c) - 1, 1)
+            known[context] = total >= min_count and 2 * gain > free + 4 * math.sqrt(2 * free)
+        return known[context]
+
+    out = {}
+    for i, line in tokens.items():
+        whole = [None, *line]
+        out[i] = (sum(math.log10(p(tuple(whole[max(0, k - depth) : k]), whole[k])) for k in range(1, len(whole))), sum(math.log10(p((), w)) for w in line))
+    return out, p, unigram, [c for c in after if retained(c)], n
+
+
+@pytest.mark.parametrize("parts,shard_tokens,batch_bytes", [(1, 2_000_000, 6 << 20), (24, 700, 3000)])
+def test_suffix_tree(spark, rows, none, monkeypatch, parts, shard_tokens, batch_bytes):
+    """Equal to brute force at one partition, and at many with contexts that several shards share."""
     from tessera.llm import suffix_tree as s
 
-    train = [(i, t) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), None]
-    counts = collections.Counter(w for _, t in train for w in tokens(t))
-    n, v = sum(counts.values()), len(counts)
-    tree = s.learn(docs)
-    got = {r["doc_id"]: r for r in s.score_documents(docs, tree).collect()}
+    monkeypatch.setattr(s, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(s, "BATCH_BYTES", batch_bytes)
+    want, p, unigram, states, n = brute_suffix_tree(rows, s.DEPTH, s.MIN_COUNT, s.PRIOR, s.LOG_STEPS)
+    docs = spark.createDataFrame(rows, DOCS).repartition(parts)
+    got = {r["doc_id"]: r for r in s.score_documents(docs).collect()}
+    assert len(got) == len(rows) and {len(c) for c in states} == {1, 2}
     for i, t, *_ in rows:
-        r, w = got[i], tokens(t)
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(counts[x] > 0 for x in w), n)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        text = "".join(f"{x} " for x in w[:-1]).rstrip(" ") + "\n"
-        states = {x: k for k, x in enumerate(tree.names)}
-        total, before = 0.0, b"\n"
-        for b in text.encode():
-            best = next(before[k:] for k in range(len(before) + 1) if before[k:] in states)
-            total += float(tree.logs[states[best], tree.contexts.classes[b]])
-            before = (before + bytes([b]))[-s.DEPTH :]
-        assert math.isclose(r["tree_score"], total, rel_tol=1e-4, abs_tol=1e-4)
-        assert r["score"] >= max(r["base_score"], r["tree_score"]) - len(w) * math.log10(2) - 1e-6
-        if len(w) == 2:  # one word and the end
-            assert math.isclose(r["score"], math.log10(0.5 * 10**total + 0.5 * 10 ** r["base_score"]), rel_tol=1e-6)
-    p = 10.0 ** tree.logs.astype(float)
-    assert np.allclose(p[:, 1:].sum(axis=1) + p[:, 0] * (257 - tree.contexts.width), 1, atol=1e-4)
-    assert len(tree.names) > 50
-    assert s.score_documents(none).count() == 0
-
-
-def test_suffix_tree_keeps_rare_contexts_of_large_corpora(spark):
+        r, w = got[i], [*WORD.findall((t or "").translate(LOWER)), None]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(unigram[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], want[i][1], rel_tol=1e-9) and math.isclose(r["score"], want[i][0], rel_tol=1e-9), i
+    for context in [(), *states[:: max(1, len(states) // 20)]]:  # all known tokens and the one unknown
+        assert math.isclose(sum(p(context, w) for w in [*unigram, "never seen"]), 1)
+    if parts == 1:
+        assert s.score_documents(none).count() == 0
+        alone = {r["doc_id"]: r["score"] for r in s.score_documents(docs, held_out=F.lit(True)).collect()}
+        assert set(alone.values()) == {0.0}  # nothing to learn from
+
+
+def test_suffix_tree_beats_the_base_and_packs(spark):
     from tessera.llm import suffix_tree as s
 
-    rows = [(i, "ab " * 400_000) for i in range(14)] + [(100 + i, "qzxj" if i % 2 else "pzxk") for i in range(180)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    trees = [s.learn(docs.repartition(2)), s.learn(docs.orderBy("text").repartitionByRange(5, "text"))]
-    assert {b"qzx", b"pzx"} <= set(trees[0].names)  # 80 of 14 million symbols
-    order = [np.argsort([n.hex() for n in t.names]) for t in trees]  # exact counts, however the rows are dealt
-    assert sorted(trees[0].names) == sorted(trees[1].names)
-    assert np.allclose(trees[0].logs[order[0]][:, 1:], trees[1].logs[order[1]][:, 1:], atol=1e-6)
-
-
-def test_grams():
-    from tessera.llm import suffix_tree as s
-
-    text = np.frombuffer(b"ab\nabcdefghij\n\nx", np.uint8)
-    for at, g in enumerate(s.grams_of(text)):
-        before = (b"\n" + text.tobytes())[: at + 1]
-        before = before[before.rindex(b"\n") :][-s.DEPTH :]
-        assert int(g).to_bytes(8, "big") == before[::-1].ljust(s.DEPTH, b"\0") + text[at : at + 1].tobytes()
-    keys, n = s.summed(s.grams_of(np.tile(text, 3)))
-    back = s.unpack(s.pack(keys, n))
-    assert np.array_equal(back[0], keys) and np.array_equal(back[1], n)
+    rng = random.Random(9)
+    text = lambda: " ".join(f"a{(k := rng.randrange(30))} b{k} c{rng.randrange(200)}" for _ in range(80))
+    rows = [(i, text()) for i in range(200)]
+    got = [r for r in s.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["held_out"]]
+    assert len(got) > 10 and all(r["score"] > r["base_score"] + 20 for r in got)
+    arrays = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.int32), np.array([True, False]), np.array([1.5, -2.0])]
+    back = s.unpack(s.pack(*arrays))
+    assert all(a.dtype == b.dtype and np.array_equal(a, b) for a, b in zip(arrays, back))
 
 
 def test_pipeline_stages(spark, tmp_path, rows):
