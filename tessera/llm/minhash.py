@@ -6,9 +6,10 @@ coordinates give candidates, whose Jaccard similarity is then computed on the fu
 
 Documents of equal shingle sets are one node from the start, named by a number of its own, so a doc_id
 that stands on several texts has several nodes; these are linked, as they are one document. In a
-bucket every node is compared with the bucket's smallest one; after these links are merged, only nodes
-of different components in the same bucket are left, and of those only pairs that the set sizes, the
-triangle inequality of the Jaccard distance (known to the bucket's smallest node) and a sketch of the
+bucket every node is compared with the bucket's leader, the node that shares the most buckets with
+others (so the text that many copies were made of, if it is there); after these links are merged, only
+nodes of different components in the same bucket are left, and of those only pairs that the set sizes, the
+triangle inequality of the Jaccard distance (known to the bucket's leader) and a sketch of the
 signatures leave open are compared. So a group of copies costs one comparison a copy and leader, and
 no product of its members. The nodes left of a bucket are dealt to cells by their sets' sizes, and a
 cell of more than CELL nodes over several tasks.
@@ -129,7 +130,7 @@ def sketches(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 64)
                 raw = [np.frombuffer(x, dtype=np.uint64) for x in part.column(1).to_pylist()]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-                pairs = (signatures(np.concatenate(raw), bounds, WIDE) >> 15 & 3).astype(np.uint8).reshape(len(raw), -1, 4)
+                pairs = (signatures(np.concatenate(raw), bounds, WIDE) * _A >> np.uint32(30)).astype(np.uint8).reshape(len(raw), -1, 4)
                 packed = (pairs[:, :, 0] | pairs[:, :, 1] << 2 | pairs[:, :, 2] << 4 | pairs[:, :, 3] << 6).astype(np.uint8).view("<i8")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * packed.shape[1], pa.int32()), pa.array(packed.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "sketch"])
@@ -233,7 +234,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _open_pairs(open_nodes: DataFrame, like: Likeness) -> DataFrame:
     """a, b: the pairs of one bucket and different components that need a comparison.
 
-    open_nodes: bucket, band, node, n, d (distance to the bucket's smallest node), root, sketch, bands.
+    open_nodes: bucket, band, node, n, d (distance to the bucket's leader), root, sketch, bands.
     Linked sets differ in size by less than a class, so a node meets the cells of three classes; those
     of a cell are dealt over salts of about CELL nodes.
     """
@@ -261,8 +262,11 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     own = members.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
     pieces = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    leaders = pieces.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = shared.materialise(pieces.join(leaders.drop("size"), "bucket"), "minhash-buckets")
+    sizes = pieces.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = shared.materialise(pieces.join(sizes, "bucket"), "minhash-buckets")
+    weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    leaders = buckets.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"))
+    buckets = shared.materialise(buckets.drop("size").join(leaders, "bucket"), "minhash-leaders")
     stars = shared.materialise(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "minhash-stars")
     named = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     sets = shared.materialise(node_sets(docs, nodes.drop("bands").join(named, "node", "left_semi"), like), "minhash-sets")
