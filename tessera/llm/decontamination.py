@@ -6,12 +6,18 @@ bytes (a shorter item is one window). A document holds the item if some region o
 of its windows with at most floor(EDIT_RATE * window length) edits.
 
 The q-gram lemma: such a region shares at least w - Q + 1 - Q * e of the window's q-grams, on at most
-e + 1 neighbouring diagonals. Shared q-grams are counted in overlapping bands of diagonals, regions
-that reach the bound are kept and verified by banded alignment, many at once.
-
-Edge cases: null texts are empty and match nothing; an item of fewer than MIN_BYTES normalised bytes
-matches only documents whose whole normalised text equals it (an empty item matches nothing); repeated
-items and documents give repeated rows; without items or documents the result is empty.
+e + 1 neighbouring diagonals. It misses at most Q * e of them, so one of any Q * e + 1 is shared: the
+rarest of the benchmark, which are looked up in the documents, a bounded number of postings at a time.
+Where one is found, the shared q-grams of the overlapping bands of diagonals around it are counted;
+regions that reach the bound are kept and verified by banded alignment, many at once. Equal windows of
+many items are searched for once.
+
+An item of fewer than MIN_BYTES normalised bytes is its own q-gram: Q is lowered to its length, where
+the bound leaves no edits, and it is found wherever it stands whole between word borders.
+
+Edge cases: null texts are empty and match nothing; an empty item matches nothing; repeated items and
+documents give repeated rows; ids may be of any type; without items or documents the result is empty;
+other columns are ignored by `find_leaks` and kept by `keep_clean`.
 """
 
 from __future__ import annotations
@@ -28,8 +34,11 @@ from tessera.llm import textkit
 Q, WINDOW, EDIT_RATE, MIN_BYTES = 10, 96, 0.06, 40
 #: Diagonals of half a band; more than the edits of any window.
 HALF_BAND = 8
-#: Bytes of items in one index; a larger benchmark is searched in several passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of items in one index, which takes about 25 times as much memory; a larger benchmark is
+#: searched in several passes.
+BLOCK_BYTES = 8 << 20
+#: Postings looked at in one go.
+PIECE = 1 << 19
 
 _FOLD = np.array([0x20 if c < 0x80 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 0x80 else c for c in range(256)], dtype=np.uint8)
 
@@ -64,49 +73,58 @@ def _qgrams(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of a block of items and the positions of their q-grams, sorted by hash."""
+    """Different windows of a block of items, and the postings of their rarest q-grams, sorted by hash."""
 
-    item_ids: list
-    owner: np.ndarray  # item number of each window
-    length: np.ndarray
+    item_ids: pa.Array
     patterns: np.ndarray  # (windows, WINDOW + WINDOW // 2) bytes, zero-padded
+    length: np.ndarray
+    owner: np.ndarray  # item numbers, window by window
+    owners: np.ndarray  # where those of each window begin
     grams: np.ndarray  # distinct hashes
     begin: np.ndarray  # postings of each hash
     window: np.ndarray
     place: np.ndarray
     seen: np.ndarray  # by the low bits of a hash
-    short: dict  # whole normalised text -> item numbers
-
-
-def build_index(items: list[tuple]) -> Index:
-    """items: (item_id, text)."""
-    data, at = normalise(pa.array([t or "" for _, t in items], pa.string()))
-    owner, length, patterns, short = [], [], [], {}
-    for i in range(len(items)):
-        text = data[at[i] : at[i + 1]]
-        if len(text) < MIN_BYTES:
-            if len(text):
-                short.setdefault(text.tobytes(), []).append(i)
-            continue
-        half = WINDOW // 2
-        starts = list(range(0, max(1, len(text) - WINDOW + 1), half))
-        for n, s in enumerate(starts):
-            end = len(text) if n == len(starts) - 1 and len(text) - s < WINDOW + half else s + WINDOW
-            owner.append(i)
-            length.append(end - s)
-            row = np.zeros(WINDOW + half, dtype=np.uint8)
-            row[: end - s] = text[s:end]
-            patterns.append(row)
-    patterns = np.array(patterns, dtype=np.uint8).reshape(len(owner), WINDOW + WINDOW // 2)
-    hashes = [_qgrams(p[:n]) for p, n in zip(patterns, length)]
-    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    window = np.repeat(np.arange(len(owner)), [len(h) for h in hashes])
-    place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-    order = np.argsort(flat, kind="stable")
-    grams, begin = np.unique(flat[order], return_index=True)
+    short: np.ndarray  # sorted hashes of short items
+    short_item: np.ndarray
+    short_sizes: np.ndarray  # lengths in use
+    texts: list  # of short items, as bytes
+
+
+def build_index(item_ids: pa.Array, texts: pa.Array) -> Index:
+    data, at = normalise(texts)
+    size, half, wide = np.diff(at), WINDOW // 2, WINDOW + WINDOW // 2
+    long = np.flatnonzero(size >= MIN_BYTES)
+    count = np.maximum(0, size[long] - WINDOW) // half + 1
+    owner = np.repeat(long, count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.where(number == np.repeat(count, count) - 1, size[owner] - number * half, WINDOW)
+    first = at[owner] + number * half
+    column = np.arange(wide)
+    patterns = np.zeros((len(owner), wide), dtype=np.uint8)
+    inside = column < length[:, None]
+    patterns[inside] = data[(first[:, None] + column)[inside]]
+    _, one, same = np.unique(patterns.view(f"V{wide}").reshape(-1), return_index=True, return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    owners = np.searchsorted(same[order], np.arange(len(one) + 1))
+    patterns, length, first, owner = patterns[one], length[one], first[one], owner[order]
+
+    many = length - Q + 1
+    hashes = _qgrams(data)[textkit.spread(first, many)] if len(one) else np.zeros(0, np.uint64)
+    window, place = np.repeat(np.arange(len(one)), many), textkit.spread(np.zeros(len(one), np.int64), many)
+    _, kind, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.lexsort((place, times[kind], window))  # in each window, the rarest first
+    rarest = order[textkit.spread(np.cumsum(many) - many, np.minimum(many, Q * edits_allowed(length) + 1))]
+    rarest = rarest[np.argsort(hashes[rarest], kind="stable")]
+    grams, begin = np.unique(hashes[rarest], return_index=True)
     seen = np.zeros(1 << 22, dtype=bool)
     seen[(grams & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-    return Index([i for i, _ in items], np.array(owner, dtype=np.int64), np.array(length, dtype=np.int64), patterns, grams, np.append(begin, len(flat)), window[order], place[order], seen, short)
+
+    small = np.flatnonzero((size > 0) & (size < MIN_BYTES))
+    own = textkit.span_hashes(data, at[small], at[small + 1])
+    small, own = small[order := np.argsort(own, kind="stable")], own[order]
+    kept = [data[at[i] : at[i + 1]].tobytes() for i in small]
+    return Index(item_ids, patterns, length, owner, owners, grams, np.append(begin, len(rarest)), window[rarest].astype(np.int32), place[rarest].astype(np.int16), seen, own, small, np.unique(size[small]), kept)
 
 
 def edits_allowed(length: np.ndarray) -> np.ndarray:
@@ -142,12 +160,7 @@ def banded_edits(text: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.
 def search(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows, item numbers, matched windows, least edits, end byte of that region) of all matches."""
     data, offsets = normalise(column)
-    found = []
-    if index.short:
-        size = np.diff(offsets)
-        for row in np.flatnonzero((size > 0) & (size < MIN_BYTES)):
-            for item in index.short.get(data[offsets[row] : offsets[row + 1]].tobytes(), ()):
-                found.append((row, item, 1, 0, size[row]))
+    found = _short_items(index, data, offsets) if len(index.short) and len(data) else []
     if len(index.grams) and len(data) >= Q:
         h = _qgrams(data)
         at = np.flatnonzero(index.seen[(h & np.uint64(len(index.seen) - 1)).astype(np.int64)])
@@ -157,50 +170,103 @@ def search(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
         rows = np.searchsorted(offsets, at, side="right") - 1
         inside = at + Q <= offsets[rows + 1]
         at, k, rows = at[inside], k[inside], rows[inside]
-        found += _verified(index, data, offsets, *_regions(index, at, k, rows))
+        best: dict = {}
+        reach = np.cumsum(index.begin[k + 1] - index.begin[k])
+        start = 0
+        while start < len(k):  # about PIECE postings, or those of one place
+            stop = max(start + 1, int(np.searchsorted(reach, (reach[start - 1] if start else 0) + PIECE, side="right")))
+            _verify(index, data, offsets, *_regions(index, h, offsets, at[start:stop], k[start:stop], rows[start:stop]), best)
+            start = stop
+        found += [(r, i, len(v[0]), v[1], v[2]) for (r, i), v in sorted(best.items())]
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.array(c, dtype=np.int64) for c in zip(*found))
 
 
-def _regions(index: Index, at: np.ndarray, k: np.ndarray, rows: np.ndarray):
-    """(row, window, band) where enough different q-grams of the window meet in a band."""
+def _short_items(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+    """Matches of items that are their own q-gram: whole, between word borders; the first of a text."""
+    gap = np.ones(len(data) + 1, dtype=bool)  # borders before each byte, and at the end
+    gap[1:-1] = data[:-1] == 0x20
+    gap[offsets] = True
+    stop = np.ones(len(data) + 1, dtype=bool)
+    stop[:-1] = data == 0x20
+    stop[offsets] = True
+    starts = np.flatnonzero(gap[:-1] & (data != 0x20))
+    ends = offsets[np.searchsorted(offsets, starts, side="right")]
+    spans = []
+    for size in index.short_sizes:
+        good = starts + size <= ends
+        good[good] = stop[starts[good] + size]
+        spans.append(np.stack([starts[good], starts[good] + size]))
+    a, b = np.concatenate(spans, axis=1)
+    h = textkit.span_hashes(data, a, b)
+    low, high = np.searchsorted(index.short, h), np.searchsorted(index.short, h, side="right")
+    best: dict = {}
+    for i in np.flatnonzero(low < high):
+        row = int(np.searchsorted(offsets, a[i], side="right")) - 1
+        text = data[a[i] : b[i]].tobytes()
+        for j in range(low[i], high[i]):
+            if index.texts[j] == text:
+                key, end = (row, int(index.short_item[j])), int(b[i] - offsets[row])
+                best[key] = min(best.get(key, end), end)
+    return [(row, item, 1, 0, end) for (row, item), end in sorted(best.items())]
+
+
+def _regions(index: Index, h: np.ndarray, offsets: np.ndarray, at: np.ndarray, k: np.ndarray, rows: np.ndarray):
+    """(row, window, band) where enough different q-grams of the window meet in a band of diagonals."""
     count = index.begin[k + 1] - index.begin[k]
     rep = np.repeat(np.arange(len(k)), count)
-    post = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count) + index.begin[k][rep]
-    window, place = index.window[post], index.place[post]
-    band = (at[rep] - place) // HALF_BAND
-    row = rows[rep]
-    # Each q-gram of a window counts once in a band; a diagonal lies in two bands.
-    key = np.stack([np.concatenate([row, row]), np.concatenate([window, window]), np.concatenate([band, band - 1]), np.concatenate([place, place])])
-    if not key.shape[1]:
-        return key[0], key[1], key[2]
-    key = key[:, np.lexsort(key[::-1])]
-    new = np.any(key[:, 1:] != key[:, :-1], axis=0)
-    key = key[:, np.concatenate([[True], new])]
-    edge = np.flatnonzero(np.concatenate([[True], np.any(key[:3, 1:] != key[:3, :-1], axis=0)]))
-    count = np.diff(np.append(edge, key.shape[1]))
-    row, window, band = key[0, edge], key[1, edge], key[2, edge]
-    size = index.length[window]
-    enough = count >= size - Q + 1 - Q * edits_allowed(size)
+    post = textkit.spread(index.begin[k], count)
+    band = (at[rep] - index.place[post]) // HALF_BAND
+    # A diagonal lies in two bands.
+    bands, windows = len(h) // HALF_BAND + 64, len(index.length)
+    key = (rows[rep] * windows + index.window[post]) * bands + band + 32
+    key = np.unique(np.concatenate([key, key - 1]))
+    band, row = key % bands - 32, key // bands
+    row, window = row // windows, row % windows
+    enough = np.zeros(len(key), dtype=bool)
+    for s in range(0, len(key), 4096):
+        part = slice(s, s + 4096)
+        enough[part] = _shared(index, h, offsets, row[part], window[part], band[part]) >= _bound(index.length[window[part]])
     return row[enough], window[enough], band[enough]
 
 
-def _verified(index: Index, data, offsets, row, window, band) -> list[tuple]:
+def _bound(size: np.ndarray) -> np.ndarray:
+    return size - Q + 1 - Q * edits_allowed(size)
+
+
+def _shared(index: Index, h: np.ndarray, offsets: np.ndarray, row: np.ndarray, window: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """How many of each window's q-grams stand in its row on a diagonal of its band."""
+    wide = index.patterns.shape[1] - Q + 1
+    letters = textkit._LETTERS[index.patterns[window]]
+    own = np.zeros((len(window), wide), dtype=np.uint64)
+    for j in range(Q):
+        own = own * textkit.NGRAM_STEP + letters[:, j : j + wide]
+    own = textkit.mix(own)
+    low, high = offsets[row][:, None], offsets[row + 1][:, None] - Q
+    met = np.zeros(own.shape, dtype=bool)
+    first = band[:, None] * HALF_BAND + np.arange(wide)
+    for shift in range(2 * HALF_BAND):
+        place = first + shift
+        met |= (place >= low) & (place <= high) & (h[np.clip(place, 0, len(h) - 1)] == own)
+    met &= np.arange(wide) <= index.length[window][:, None] - Q
+    return met.sum(axis=1)
+
+
+def _verify(index: Index, data, offsets, row, window, band, best: dict) -> None:
+    """Align the regions; best: (row, item) -> [windows, least edits, end of that region]."""
     most = int(edits_allowed(np.array([WINDOW + WINDOW // 2]))[0])
     spread = 2 * HALF_BAND + 2 * most + 1
-    best: dict = {}
     for s in range(0, len(row), 4096):
         r, w, b = row[s : s + 4096], window[s : s + 4096], band[s : s + 4096]
         edits, end = banded_edits(data, offsets[r], offsets[r + 1], b * HALF_BAND - most, index.patterns[w], index.length[w], spread)
-        good = edits <= edits_allowed(index.length[w])
-        for i in np.flatnonzero(good):
-            key = (int(r[i]), int(index.owner[w[i]]))
-            old = best.setdefault(key, [set(), 1 << 20, 0])
-            old[0].add(int(w[i]))
-            if edits[i] < old[1]:
-                old[1:] = [int(edits[i]), int(end[i] - offsets[r[i]])]
-    return [(r, i, len(v[0]), v[1], v[2]) for (r, i), v in sorted(best.items())]
+        for i in np.flatnonzero(edits <= edits_allowed(index.length[w])):
+            this = (int(edits[i]), int(end[i] - offsets[r[i]]))
+            for item in index.owner[index.owners[w[i]] : index.owners[w[i] + 1]].tolist():
+                old = best.setdefault((int(r[i]), item), [set(), 1 << 20, 0])
+                old[0].add(int(w[i]))
+                if this < (old[1], old[2]):
+                    old[1:] = this
 
 
 def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -209,9 +275,9 @@ def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     n = max(1, -(-int(size) // block_bytes))
     for b in range(n):
         part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        items = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()]  # about block_bytes
-        if items:
-            yield build_index(items)
+        items = part.select("item_id", F.col("text").cast("string").alias("text")).orderBy("item_id", "text").toArrow()  # about block_bytes
+        if items.num_rows:
+            yield build_index(items.column(0).combine_chunks(), items.column(1).combine_chunks())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -231,9 +297,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, held=held):
             for batch in textkit.chunks(batches, "text", 1 << 20):
                 row, item, windows, edits, end = search(held.value, batch.column(1))
-                ids = pa.array([held.value.item_ids[i] for i in item])
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids, pa.array(windows), pa.array(edits), pa.array(end)], names=["doc_id", "item_id", "n_windows", "edits", "end_byte"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), held.value.item_ids.take(pa.array(item)), pa.array(windows), pa.array(edits), pa.array(end)], names=["doc_id", "item_id", "n_windows", "edits", "end_byte"])
 
         part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -134,12 +134,15 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+NGRAM_STEP = np.uint64(0x9FB21C651E98DF25)
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n consecutive items that start at each position; len(hashes) - n + 1 values."""
     size = max(0, len(hashes) - n + 1)
     out = np.zeros(size, dtype=np.uint64)
     for j in range(n):
-        out = out * np.uint64(0x9FB21C651E98DF25) + hashes[j : j + size]
+        out = out * NGRAM_STEP + hashes[j : j + size]
     return mix(out)
 
 

@@ -334,16 +334,19 @@ def test_decontamination(spark):
             piece[at : at + 1] = rng.choice([[], ["q"], [piece[at], "q"]])
         docs.append((10 + k, text(rng.randrange(0, 200)) + " " + "".join(piece).upper() + "! " + text(rng.randrange(0, 200))))
     docs += [(200 + k, text(400)) for k in range(10)]
+    docs += [(300, "So -- this SHORT (item) it is"), (301, "shortitem"), (302, "a short items list"), (303, "x short item")]
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    index = d.build_index(items)
+    index = d.build_index(pa.array([i for i, _ in items]), pa.array([x for _, x in items]))
     norm = lambda s: re.sub(r"[^a-z0-9\x80-\xff]+", " ", (s or "").lower()).strip()
     want = set()
     for i, t in docs:
-        for w in range(len(index.owner)):
+        for w in range(len(index.length)):
             pattern = index.patterns[w, : index.length[w]].tobytes().decode()
             if edit_distance_inside(pattern, norm(t)) <= math.floor(d.EDIT_RATE * len(pattern)):
-                want.add((i, items[index.owner[w]][0]))
-    want.add((2, 6))
+                want |= {(i, items[k][0]) for k in index.owner[index.owners[w] : index.owners[w + 1]]}
+        if f" {items[6][1]} " in f" {norm(t)} ":
+            want.add((i, 6))
+    assert {(2, 6), (300, 6), (303, 6)} == {x for x in want if x[1] == 6}
     got = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(frame, bench).collect()}
     assert got == want and len(want) > 20
     kept = {r["doc_id"] for r in d.keep_clean(frame, bench).collect()}
@@ -351,6 +354,23 @@ def test_decontamination(spark):
     assert d.find_leaks(frame, bench.limit(0)).count() == 0 and d.find_leaks(frame.limit(0), bench).count() == 0
 
 
+def test_decontamination_ids_templates_and_monotony(spark):
+    from tessera.llm import decontamination as d
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    template = "which of the following statements about the subject is the only one that is true "
+    items = [(i, template + " ".join(word() for _ in range(8))) for i in range(10_000)] + [(20_000 + i, items_twin) for i, items_twin in enumerate([template + "twin " * 6] * 3)] + [(30_000, "a" * 60)]
+    docs = [(1, "x " * 50 + items[77][1] + " and more"), (2, template + " ".join(word() for _ in range(30))), (3, "b" * 1_000_000), (4, template + "twin " * 6), (5, "q " + "a" * 300_000)]
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    bench = spark.createDataFrame(items, "item_id short, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(frame, bench).collect()}
+    assert got == {(1, 77), (4, 20_000), (4, 20_001), (4, 20_002), (5, 30_000)}
+    named = d.find_leaks(frame.selectExpr("concat('d', doc_id) AS doc_id", "text"), bench.selectExpr("concat('i', item_id) AS item_id", "text"))
+    assert ("d1", "i77") in {tuple(r)[:2] for r in named.collect()}
+    assert {r["doc_id"] for r in d.keep_clean(frame, bench).collect()} == {2, 3}
+
+
 def test_chat(spark):
     from tessera.llm import chat
 
