@@ -1,9 +1,10 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join, in DataFrame functions only.
 
 Listed canonical URLs are ``host/path/`` prefixes. A page's candidates are the prefixes of its URL:
-every suffix of its host at a dot with every prefix of its path that ends in a slash. Candidates that
-the Bloom filter passes go to a hash join with the list, which removes its false positives; the
-longest listed prefix decides.
+every suffix of its host at a dot with every prefix of its path that ends in a slash. Each different
+candidate is put to the Bloom filter once, and those it passes go to a hash join with the list, which
+removes its false positives; the pages of the candidates that are left then meet their rules, those of
+candidates of over HOT_PAGES pages by a broadcast (there are few of them). The longest listed prefix decides.
 
 Edge cases: a null url or one without ``://`` has empty host and path and no rule; repeated rows come
 out as often as they came in; an empty list gives the default verdict; other columns are dropped.
@@ -23,6 +24,8 @@ LANES = 4
 BITS_PER_KEY = 16
 #: Blocks up to which the filter (40 bytes a block) is broadcast.
 MAX_BROADCAST_BLOCKS = 1 << 18
+#: Listed prefixes up to which those found are broadcast; beyond, only candidates of so many pages.
+MAX_BROADCAST_RULES, HOT_PAGES = 100_000, 1_000_000
 
 
 def canonical(url: Column) -> tuple[Column, Column]:
@@ -89,6 +92,12 @@ def _hits(base: DataFrame, listed: DataFrame, depth) -> DataFrame:
     blocks, n_blocks = build_filter(listed, depth["n"])
     if n_blocks <= MAX_BROADCAST_BLOCKS:  # the size of the filter is bounded by its number of blocks
         blocks = F.broadcast(blocks)
-    probed = keys.withColumn("block", _block(F.col("key"), n_blocks)).join(blocks, "block")
+    asked = keys.groupBy("key").agg(F.count(F.lit(1)).alias("pages"))
+    probed = asked.withColumn("block", _block(F.col("key"), n_blocks)).join(blocks, "block")
     passed = reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(F.col("key")))))
-    return probed.where(passed).select("page_id", "host", "path", "key").join(listed, "key")
+    hits = probed.where(passed).select("key", "pages").join(listed.hint("shuffle_hash"), "key")
+    if depth["n"] <= MAX_BROADCAST_RULES:  # no more hits than listed prefixes
+        return keys.join(F.broadcast(hits.drop("pages")), "key")
+    hot = F.broadcast(hits.where(F.col("pages") > HOT_PAGES).drop("pages"))  # at most a row for each HOT_PAGES candidates
+    cool = hits.where(F.col("pages") <= HOT_PAGES).drop("pages").hint("shuffle_hash")
+    return keys.join(hot, "key").unionByName(keys.join(hot.select("key"), "key", "left_anti").join(cool, "key"))
