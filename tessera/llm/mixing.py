@@ -2,7 +2,9 @@
 
 A source with n documents and target weight w gets the mean repetition rate epochs * N * w / n. Each
 document inverts the Poisson distribution of its source's rate at a uniform number hashed from the
-seed and its doc_id, is exploded by that count, and the copies are dealt out in a random order.
+seed and its doc_id, is exploded by that count, and the copies are dealt out in a random order. The rates
+of up to MAX_SOURCES sources are broadcast, so the texts are shuffled once, at the end; those of more
+sources meet them by a shuffle over (source, salt), which splits the largest source over SALTS tasks.
 
 Edge cases: a null source is a source of its own; rows of equal doc_id (nulls too) get equal counts;
 an empty table gives an empty one; columns named like ours are kept under their own names in the
@@ -18,6 +20,8 @@ SEED = 17
 #: A source's weight is its size to this power, unless weights are given.
 ALPHA = 0.7
 EPOCHS = 1.0
+#: Sources up to which the rates (9 kB each at most) are broadcast; salts of a source beyond.
+MAX_SOURCES, SALTS = 4096, 64
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -66,7 +70,12 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, alph
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("own"))
     rates = source_rates(docs, weights, alpha, epochs).withColumnRenamed("source", "rated")
-    counted = packed.join(rates, F.col("own").eqNullSafe(F.col("rated")), "left")
+    if docs.select("source").distinct().limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
+        counted = packed.join(F.broadcast(rates), F.col("own").eqNullSafe(F.col("rated")), "left")
+    else:
+        packed = packed.withColumn("salt", F.pmod(F.xxhash64(F.col("doc")), F.lit(SALTS)))
+        salted = rates.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        counted = packed.join(salted.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("rated")) & (F.col("salt") == F.col("part")), "left")
     u = uniform(str(seed), F.col("id"))
     copies = F.size(F.filter("cdf", lambda c: c < u))
     exploded = counted.where(copies > 0).select("doc", "id", "rate", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
