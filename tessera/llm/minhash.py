@@ -42,7 +42,7 @@ ROWS, MISSED = 5, 1.4e-6
 WIDE = 1024
 #: Members of a leader that one task compares before the next salt begins.
 FAN = 64
-#: Nodes of a bucket and size class that one task holds against others.
+#: Nodes of a bucket and size class that are held against each other under one key, about.
 CELL = 512
 
 
@@ -235,20 +235,28 @@ def _open_pairs(open_nodes: DataFrame, like: Likeness) -> DataFrame:
     """a, b: the pairs of one bucket and different components that need a comparison.
 
     open_nodes: bucket, band, node, n, d (distance to the bucket's leader), root, sketch, bands.
-    Linked sets differ in size by less than a class, so a node meets the cells of three classes; those
-    of a cell are dealt over salts of about CELL nodes.
+    Linked sets differ in size by less than a class, so a node meets the cells of three classes; the
+    blocks of a cell of more than CELL nodes are dealt out in pairs.
     """
     reach = 1 - like.percent / 100 + 1e-9
     classed = open_nodes.withColumn("class", F.floor(F.log("n") / F.lit(-log(like.percent / 100) + 1e-9)))
-    cells = classed.groupBy("bucket", "class").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("salts"))
-    dealt = classed.join(cells, ["bucket", "class"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).where("d > 0").drop("salts")
+    y = classed.where("d > 0")
     x = classed.where(F.col("d") > reach).select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "d", "root", "sketch", "bands")), F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1)))).alias("class"))
-    x = x.join(cells, ["bucket", "class"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    loads = x.select("bucket", "class").unionByName(y.select("bucket", "class")).groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("load"))
+    large = F.broadcast(loads.where(F.col("load") > CELL).withColumn("salts", F.ceil(F.col("load") / CELL)).drop("load"))  # at most a row for each CELL rows
+    zero, last = F.lit(0).cast("long"), F.col("salts") - 1
+
+    def salted(rows: DataFrame, node: str, own: str, other: str) -> DataFrame:
+        """Every block of a large cell's x meets every block of its y under a key of its own."""
+        rows = rows.join(large, ["bucket", "class"], "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
+        return rows.withColumn(own, F.pmod(F.xxhash64(node), F.col("salts"))).withColumn(other, F.explode(F.sequence(zero, last))).drop("salts")
+
+    x, y = salted(x, "node_x", "block_x", "block_y"), salted(y, "node", "block_y", "block_x")
     first = F.coalesce(*(F.when(F.col("bands")[i] == F.col("bands_x")[i], F.lit(i)) for i in range(like.bands)))  # a pair counts in its first common bucket
     near = (F.col("root") != F.col("root_x")) & (F.abs(F.col("d") - F.col("d_x")) <= reach) & ((F.col("d") <= reach) | (F.col("node") < F.col("node_x")))
     sizes = 100 * F.least("n", "n_x") >= like.percent * F.greatest("n", "n_x")
     alike = near & sizes & (first == F.col("band")) & (sketch_gap(F.col("sketch"), F.col("sketch_x")) <= like.gap)
-    return x.join(dealt, ["bucket", "class", "salt"]).where(alike).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
+    return x.join(y, ["bucket", "class", "block_x", "block_y"]).where(alike).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
