@@ -610,7 +610,7 @@ def brute_suffix_tree(rows, depth, min_count, prior, log_steps):
     def retained(context):
         if context not in known:
             c, total = after[context], sum(after[context].values())
-            gain = sum(k * (math.log(k / total) + round(-math.log(p(context[1:], w)) * log_steps) / log_steps) for w, k in c.items())
+            gain = sum(k * (math.log(k / total) + min(255, round(-math.log(p(context[1:], w)) * log_steps)) / log_steps) for w, k in c.items())
             free = max(len(c) - 1, 1)
             known[context] = total >= min_count and 2 * gain > free + 4 * math.sqrt(2 * free)
         return known[context]
