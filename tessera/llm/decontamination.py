@@ -6,11 +6,12 @@ bytes (a shorter item is one window). A document holds the item if some region o
 of its windows with at most floor(EDIT_RATE * window length) edits.
 
 The q-gram lemma: such a region shares at least w - Q + 1 - Q * e of the window's q-grams, on at most
-e + 1 neighbouring diagonals. It misses at most Q * e of them, so one of any Q * e + 1 is shared: the
-rarest of the benchmark, which are looked up in the documents, a bounded number of postings at a time.
-Where one is found, the shared q-grams of the overlapping bands of diagonals around it are counted;
-regions that reach the bound are kept and verified by banded alignment, many at once. Equal windows of
-many items are searched for once.
+e + 1 neighbouring diagonals. It misses at most Q * e of them, so of any S of a window's q-grams S - Q * e
+are shared. Those of up to HOT postings are looked up in the documents, a bounded number of postings at a
+time, and as many of the rarest others as make S exceed Q * e; so what a template gives to very many items
+is mostly left out. Shared q-grams are counted in overlapping bands of diagonals; regions that reach the
+bound (then that of all q-grams, where some were left out) are kept and verified by banded alignment, many
+at once. Equal windows of many items are searched for once.
 
 An item of fewer than MIN_BYTES normalised bytes is its own q-gram: Q is lowered to its length, where
 the bound leaves no edits, and it is found wherever it stands whole between word borders.
@@ -38,7 +39,11 @@ HALF_BAND = 8
 #: searched in several passes.
 BLOCK_BYTES = 8 << 20
 #: Postings looked at in one go.
-PIECE = 1 << 19
+PIECE = 1 << 20
+#: Postings of a q-gram up to which it is always looked up.
+HOT = 64
+#: Positions that the shared q-grams of a region lie apart at most.
+REACH = WINDOW + WINDOW // 2 + 2 * HALF_BAND
 
 _FOLD = np.array([0x20 if c < 0x80 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 0x80 else c for c in range(256)], dtype=np.uint8)
 
@@ -73,7 +78,7 @@ def _qgrams(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Different windows of a block of items, and the postings of their rarest q-grams, sorted by hash."""
+    """Different windows of a block of items, and the postings of their rarer q-grams, sorted by hash."""
 
     item_ids: pa.Array
     patterns: np.ndarray  # (windows, WINDOW + WINDOW // 2) bytes, zero-padded
@@ -84,6 +89,8 @@ class Index:
     begin: np.ndarray  # postings of each hash
     window: np.ndarray
     place: np.ndarray
+    need: np.ndarray  # q-grams with postings that a region must share with each window
+    whole: np.ndarray  # whether all q-grams of a window have postings
     seen: np.ndarray  # by the low bits of a hash
     short: np.ndarray  # sorted hashes of short items
     short_item: np.ndarray
@@ -114,7 +121,9 @@ def build_index(item_ids: pa.Array, texts: pa.Array) -> Index:
     window, place = np.repeat(np.arange(len(one)), many), textkit.spread(np.zeros(len(one), np.int64), many)
     _, kind, times = np.unique(hashes, return_inverse=True, return_counts=True)
     order = np.lexsort((place, times[kind], window))  # in each window, the rarest first
-    rarest = order[textkit.spread(np.cumsum(many) - many, np.minimum(many, Q * edits_allowed(length) + 1))]
+    misses = Q * edits_allowed(length)
+    taken = np.minimum(many, np.maximum(np.bincount(window, weights=times[kind] <= HOT, minlength=len(one)).astype(np.int64), misses + 1))
+    rarest = order[textkit.spread(np.cumsum(many) - many, taken)]
     rarest = rarest[np.argsort(hashes[rarest], kind="stable")]
     grams, begin = np.unique(hashes[rarest], return_index=True)
     seen = np.zeros(1 << 22, dtype=bool)
@@ -124,7 +133,7 @@ def build_index(item_ids: pa.Array, texts: pa.Array) -> Index:
     own = textkit.span_hashes(data, at[small], at[small + 1])
     small, own = small[order := np.argsort(own, kind="stable")], own[order]
     kept = [data[at[i] : at[i + 1]].tobytes() for i in small]
-    return Index(item_ids, patterns, length, owner, owners, grams, np.append(begin, len(rarest)), window[rarest].astype(np.int32), place[rarest].astype(np.int16), seen, own, small, np.unique(size[small]), kept)
+    return Index(item_ids, patterns, length, owner, owners, grams, np.append(begin, len(rarest)), window[rarest].astype(np.int32), place[rarest].astype(np.int16), taken - misses, taken == many, seen, own, small, np.unique(size[small]), kept)
 
 
 def edits_allowed(length: np.ndarray) -> np.ndarray:
@@ -173,9 +182,10 @@ def search(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
         best: dict = {}
         reach = np.cumsum(index.begin[k + 1] - index.begin[k])
         start = 0
-        while start < len(k):  # about PIECE postings, or those of one place
+        while start < len(k):  # about PIECE postings, and those of regions that begin among them
             stop = max(start + 1, int(np.searchsorted(reach, (reach[start - 1] if start else 0) + PIECE, side="right")))
-            _verify(index, data, offsets, *_regions(index, h, offsets, at[start:stop], k[start:stop], rows[start:stop]), best)
+            end = int(np.searchsorted(at, at[stop - 1] + REACH, side="right"))
+            _verify(index, data, offsets, *_regions(index, h, offsets, at[start:end], k[start:end], rows[start:end]), best)
             start = stop
         found += [(r, i, len(v[0]), v[1], v[2]) for (r, i), v in sorted(best.items())]
     if not found:
@@ -218,16 +228,24 @@ def _regions(index: Index, h: np.ndarray, offsets: np.ndarray, at: np.ndarray, k
     rep = np.repeat(np.arange(len(k)), count)
     post = textkit.spread(index.begin[k], count)
     band = (at[rep] - index.place[post]) // HALF_BAND
-    # A diagonal lies in two bands.
+    # A diagonal lies in two bands; each q-gram of a window counts once in a band.
     bands, windows = len(h) // HALF_BAND + 64, len(index.length)
-    key = (rows[rep] * windows + index.window[post]) * bands + band + 32
-    key = np.unique(np.concatenate([key, key - 1]))
+    key, place = (rows[rep] * windows + index.window[post]) * bands + band + 32, index.place[post]
+    key, place = np.concatenate([key, key - 1]), np.concatenate([place, place])
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+    key, count = np.unique(key[new], return_counts=True)
     band, row = key % bands - 32, key // bands
     row, window = row // windows, row % windows
-    enough = np.zeros(len(key), dtype=bool)
-    for s in range(0, len(key), 4096):
-        part = slice(s, s + 4096)
-        enough[part] = _shared(index, h, offsets, row[part], window[part], band[part]) >= _bound(index.length[window[part]])
+    good = count >= index.need[window]
+    row, window, band = row[good], window[good], band[good]
+    enough = index.whole[window].copy()
+    part = np.flatnonzero(~enough)
+    for s in range(0, len(part), 4096):
+        i = part[s : s + 4096]
+        enough[i] = _shared(index, h, offsets, row[i], window[i], band[i]) >= _bound(index.length[window[i]])
     return row[enough], window[enough], band[enough]
 
 
