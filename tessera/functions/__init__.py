@@ -242,12 +242,12 @@ def days_between(a, b) -> Binary:
 
 
 # Host functions
-def lift1(f: Callable, x, returns: str = "double", name: str | None = None) -> Unary:
-    """A Python function of a pandas Series, run in Arrow batches."""
+def lift1(f: Callable, x, returns: str = "double", name: str | None = None, symbol: str | None = None) -> Unary:
+    """A Python function of a pandas Series, run in Arrow batches; name and symbol decorate it."""
     def run(s: pd.Series) -> pd.Series:
         return f(s)
 
-    return Unary(name or getattr(f, "__name__", "udf"), lift(x), F.pandas_udf(run, returns), True, str(id(f)))
+    return Unary(symbol or name or getattr(f, "__name__", "udf"), lift(x), F.pandas_udf(run, returns), True, (name or "") + str(id(f)))
 
 
 def lift2(f: Callable, a, b, returns: str = "double", name: str | None = None, symbol: str | None = None, commutative: bool = False, precedence: int = 9) -> Binary:

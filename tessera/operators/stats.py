@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from math import floor
+from math import ceil, floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,21 +40,85 @@ def mean(frame: Frame, e) -> float:
 
 
 def median(frame: Frame, e) -> float:
-    return _some(_one(frame, fn.median(_number(frame, e))), "median")
+    return percentile(frame, 50, e)
 
 
 def percentile(frame: Frame, n: float, e) -> float:
     if not 0 <= n <= 100:
         raise WrongQuantile(f"percentile {n} is outside 0..100")
-    return _some(_one(frame, fn.percentile(n, _number(frame, e))), "percentile")
+    return _some(exact_quantiles(frame, [frame.compile(_number(frame, e))], [n / 100])[0], "percentile")[0]
+
+
+#: Different values of a bracket that come to the driver at most.
+BRACKET = 50_000
+
+
+def exact_quantiles(frame: Frame, columns: list[Column], fractions: list[float]) -> list[list[float] | None]:
+    """For each column the quantiles of its present values, with linear interpolation; None for none.
+
+    Sketches of the values bracket the places asked for; values outside the brackets are only counted,
+    and those inside come to the driver by value and number. A bracket of more than BRACKET different
+    values is narrowed by a sketch of its own values, so no task and not the driver holds a column.
+    """
+    values = [c.cast("double") for c in columns]
+    slack = 1e-3
+    asked = [min(1.0, max(0.0, p + d)) for p in fractions for d in (-slack, slack)]
+    first = frame.df.agg(*(x for i, c in enumerate(values) for x in (F.count(c).alias(f"n{i}"), F.percentile_approx(c, asked, 2000).alias(f"q{i}")))).first()
+    goals = []  # (column, fraction, low, high, values below low)
+    for i in range(len(values)):
+        if first[f"n{i}"]:
+            goals += [(i, k, first[f"q{i}"][2 * k], first[f"q{i}"][2 * k + 1], 0) for k in range(len(fractions))]
+    out: list[list[float] | None] = [[0.0] * len(fractions) if first[f"n{i}"] else None for i in range(len(values))]
+    while goals:
+        cells = []
+        for g, (i, _, low, high, _) in enumerate(goals):
+            c = values[i]
+            inside = F.when((c >= low) & (c <= high), F.struct(F.lit(g).alias("g"), F.lit(0).alias("side"), c.alias("v")))
+            cells += [inside, F.when(c < low, F.struct(F.lit(g).alias("g"), F.lit(-1).alias("side"), F.lit(None).cast("double").alias("v")))]
+        rows = frame.df.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s")).groupBy("s.g", "s.side", "s.v").agg(F.count(F.lit(1)).alias("n"))
+        found = rows.limit(BRACKET * len(goals) + 1).collect()
+        if len(found) > BRACKET * len(goals):
+            goals = [_narrowed(frame, values[g[0]], fractions[g[1]], first[f"n{g[0]}"], g) for g in goals]
+            continue
+        later = []
+        for g, (i, k, low, high, _) in enumerate(goals):
+            below = sum(r["n"] for r in found if r["g"] == g and r["side"] < 0)
+            here = sorted((r["v"], r["n"]) for r in found if r["g"] == g and r["side"] == 0)
+            place = (first[f"n{i}"] - 1) * fractions[k]
+            ends = []
+            for rank in (floor(place), ceil(place)):
+                at = below
+                for v, n in here:
+                    if at <= rank < at + n:
+                        ends.append(v)
+                    at += n
+            if len(ends) == 2:
+                out[i][k] = ends[0] + (ends[1] - ends[0]) * (place - floor(place))
+            else:  # the sketch was beside the place
+                later.append((i, k, float("-inf"), float("inf"), 0))
+        goals = [_narrowed(frame, values[g[0]], fractions[g[1]], first[f"n{g[0]}"], g) for g in later]
+    return out
+
+
+def _narrowed(frame: Frame, c: Column, fraction: float, n: int, goal: tuple) -> tuple:
+    """A smaller bracket around the place of the fraction, by exact counts of what lies on either side."""
+    i, k, low, high, _ = goal
+    place = (n - 1) * fraction
+    inside = F.when((c >= low) & (c <= high), c)
+    steps = [s / 200 for s in range(201)]
+    r = frame.df.agg(F.percentile_approx(inside, steps, 10_000).alias("q")).first()["q"]
+    cuts = sorted({low, *r, high})
+    counts = frame.df.agg(*(F.count_if(c <= v).alias(f"c{j}") for j, v in enumerate(cuts))).first()
+    lower = max((v for j, v in enumerate(cuts) if counts[f"c{j}"] <= floor(place)), default=low)
+    upper = min((v for j, v in enumerate(cuts) if counts[f"c{j}"] >= ceil(place) + 1), default=high)
+    return i, k, lower, upper, 0
 
 
 def quantiles(frame: Frame, q: int, e) -> list[float]:
-    """The q + 1 q-quantiles, from the minimum to the maximum, in one pass."""
+    """The q + 1 q-quantiles, from the minimum to the maximum."""
     if q < 2:
         raise WrongQuantile(f"there are no {q}-quantiles")
-    found = frame.df.agg(F.percentile(frame.compile(_number(frame, e)), F.array(*(F.lit(i / q) for i in range(q + 1))))).first()[0]
-    return _some(found, "quantiles")
+    return _some(exact_quantiles(frame, [frame.compile(_number(frame, e))], [i / q for i in range(q + 1)])[0], "quantiles")
 
 
 def generic_percentile(frame: Frame, n: float, e):
@@ -86,16 +150,15 @@ def sum_(frame: Frame, e):
 
 def correlation(frame: Frame, a, b) -> float | None:
     """Pearson's, or None below two rows or where a column is not numeric or can miss values."""
-    for e in (_expr(a), _expr(b)):
-        if isinstance(e, Col) and (not isinstance(frame.field(e.name).dataType, T.NumericType) or frame.has_missing(e.name)):
-            return None
-    found = frame.df.agg(fn.correlation(frame.compile(_expr(a)).cast("double"), frame.compile(_expr(b)).cast("double")), F.count(F.lit(1))).first()
-    return None if found[1] < 2 else found[0]
+    x, y = (frame.compile(_expr(e)) for e in (a, b))
+    if any(isinstance(e, Col) and not isinstance(frame.field(e.name).dataType, T.NumericType) for e in (_expr(a), _expr(b))):
+        return None
+    found = frame.df.agg(fn.correlation(x.cast("double"), y.cast("double")), F.count(F.lit(1)), F.count_if(x.isNull() | y.isNull())).first()
+    return None if found[1] < 2 or found[2] else found[0]
 
 
 def inter_quartile_range(frame: Frame, e) -> float:
-    q = frame.df.agg(F.percentile(frame.compile(_number(frame, e)), F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
-    q = _some(q, "inter-quartile range")
+    q = _some(exact_quantiles(frame, [frame.compile(_number(frame, e))], [0.25, 0.75])[0], "inter-quartile range")
     return q[1] - q[0]
 
 
@@ -105,24 +168,29 @@ SUMMARY = ("Count", "Mean", "Minimum", "25%", "Median", "75%", "Max", "StdDev",
 def summarize(frame: Frame) -> DataFrame:
     """Statistic, and one column for each numeric column: ten rows, rounded half-even to 2 places.
 
-    Missing values are left out by column. All numbers come from one aggregation.
+    Missing values are left out by column. The quartiles come from `exact_quantiles`, which runs at once;
+    all other numbers from one aggregation.
     """
     names = [f.name for f in frame.df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    columns = [F.col(f"`{name}`").cast("double") for name in names]
+    quartiles = exact_quantiles(frame, columns, [0.25, 0.5, 0.75]) if names else []
     aggs = []
-    for i, name in enumerate(names):
-        x = F.col(f"`{name}`").cast("double")
+    for i, (name, x) in enumerate(zip(names, columns)):
         c = frame.context()
         d = fn.to_double(Col(name))
         aggs += [
-            F.count(x).cast("double").alias(f"v{i}_0"), F.avg(x).alias(f"v{i}_1"), F.min(x).alias(f"v{i}_2"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"), F.max(x).alias(f"v{i}_6"),
+            F.count(x).cast("double").alias(f"v{i}_0"), F.avg(x).alias(f"v{i}_1"), F.min(x).alias(f"v{i}_2"), F.max(x).alias(f"v{i}_6"),
             native_aggregate(fn.stddev(d), c).alias(f"v{i}_7"), native_aggregate(fn.skewness(d), c).alias(f"v{i}_9"),
         ]
     one = frame.df.agg(*aggs) if aggs else frame.df.agg(F.count(F.lit(1)))
 
     def cell(i: int, k: int):
-        q = F.col(f"q{i}") if 3 <= k <= 5 or k == 8 else None
-        v = q[k - 3] if 3 <= k <= 5 else q[2] - q[0] if k == 8 else F.col(f"v{i}_{k}")
+        q = quartiles[i]
+        given = {3: 0, 4: 1, 5: 2}
+        if k in given or k == 8:
+            v = F.lit(None if q is None else q[2] - q[0] if k == 8 else q[given[k]]).cast("double")
+        else:
+            v = F.col(f"v{i}_{k}")
         return F.when(F.isnan(v), v).otherwise(F.bround(v, 2))
 
     rows = [F.struct(F.lit(s).alias("Statistic"), *(cell(i, k).alias(n) for i, n in enumerate(names))) for k, s in enumerate(SUMMARY)]

@@ -58,7 +58,8 @@ class NoInference:
 @dataclass(frozen=True)
 class ReadOptions:
     """safe_read: all NULLISH cells are missing, else empty ones only; missing: further such cells;
-    multi_line: cells may hold line feeds, so a file is read by one task; without, files are split."""
+    multi_line: cells may hold line feeds, so a file is read by one task; False: they don't, so files are
+    split; None: a first look at the quotes of all lines tells (see `has_open_lines`)."""
 
     header: NoHeader | UseFirstRow | ProvideNames = field(default_factory=UseFirstRow)
     types: InferFromSample | SpecifyTypes | NoInference = field(default_factory=InferFromSample)
@@ -67,7 +68,7 @@ class ReadOptions:
     separator: str = ","
     max_rows: int | None = None
     missing: tuple[str, ...] = ()
-    multi_line: bool = True
+    multi_line: bool | None = None
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], options: ReadOptions | None = None) -> Frame:
@@ -81,7 +82,8 @@ def read_tsv(spark: SparkSession, path: str | Sequence[str], options: ReadOption
 
 
 def read_separated(spark: SparkSession, path: str | Sequence[str], options: ReadOptions) -> Frame:
-    reader = spark.read.options(sep=options.separator, quote='"', escape='"', multiLine=options.multi_line, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue="")
+    many = has_open_lines(spark, path) if options.multi_line is None else options.multi_line
+    reader = spark.read.options(sep=options.separator, quote='"', escape='"', multiLine=many, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue="")
     df = reader.csv(path, header=isinstance(options.header, UseFirstRow), inferSchema=False)
     if isinstance(options.header, NoHeader):
         df = df.toDF(*(str(i) for i in range(len(df.columns))))
@@ -95,6 +97,12 @@ def read_separated(spark: SparkSession, path: str | Sequence[str], options: Read
     return type_columns(df, options)
 
 
+def has_open_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether some line has an odd number of quotes: only then can a cell hold a line feed."""
+    lines = spark.read.text(path)
+    return not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
 def cleaned(c: Column, options: ReadOptions) -> Column:
     text = F.trim(c)
     gone = {"", *options.missing} | (set(NULLISH) if options.safe_read else set())

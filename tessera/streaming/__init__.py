@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.expr import Expr
 from tessera.operators.frame import Frame
-from tessera.sources.csv import ReadOptions, read_csv
+from tessera.sources.csv import ReadOptions, read_csv, write_separated
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,10 @@ class LazyFrame:
     def filter(self, e: Expr) -> LazyFrame:
         return replace(self, steps=(*self.steps, lambda f: f.filter_where(e)))
 
+    def write_csv(self, path: str, separator: str = ",") -> None:
+        """Run, and write the rows as they come, without gathering them."""
+        write_separated(self.run(), path, separator)
+
     def run(self) -> Frame:
         """Aggregates in expressions are over the whole source."""
         frame = self.source()

@@ -305,9 +305,47 @@ def test_tree(spark):
     model = tree.fit_tree(f, "label")
     assert tree.loss(f, "label", model) < 0.1 and tree.depth(model) <= 4
     assert f.derive("p", tree.prune(tree.to_expr(model))).n_rows() == 60
-    assert tree.majority({"a": 2, "b": 2}) == "b" and tree.gini({"a": 0, "b": 0}) == 0
+    assert tree.majority({"a": 2, "b": 2}) == "b" and tree.gini({"a": 0, "b": 0}) == 0 and tree.gini({"a": 3, "b": 3}) == pytest.approx(0.5)
     one = tree.fit(f.filter_where(col("label") == "a"), "label")
     assert f.derive("p", one).values("p")[0] == "a"
+    with pytest.raises(TypeMismatch):
+        tree.fit(Frame(spark.range(2000).select("id", (F.col("id") * 2).alias("label"))), "label")
+
+
+def test_tree_counts_equal_brute_force(spark):
+    """What one job counts for every test is what each test gives by itself."""
+    rows = [((i * 7) % 11 - 5.0 if i % 9 else None, float(i % 4), "u" if i % 3 else "v", i % 2 == 0, int(i % 5 == 0)) for i in range(80)]
+    f = Frame(spark.createDataFrame(rows, "x double, y double, s string, b boolean, label int").repartition(3))
+    config = tree.TreeConfig(percentiles=(0, 25, 50, 100))
+    tried = tree.candidates(f, "label", config)
+    tests = tried.tests()
+    assert {2 + 2 * 4} == {len(tree.numeric_terms(f, config.tests, "label"))} and any(t.symbol == "is_nothing" for t in tests)
+    xs = sorted(r[0] for r in rows if r[0] is not None)
+    assert dict((repr(e), v) for e, v in tried.terms)["x"] == sorted({xs[min(len(xs) - 1, p * len(xs) // 100)] for p in config.percentiles})
+    own, coded = tree._counts(f, F.lit(0), F.col("label"), tried, 2)
+    assert own[0].tolist() == [64, 16]
+    got = tried.held(coded[0])
+    want = f.df.agg(*(F.count_if(F.coalesce(f.compile(t), F.lit(False)) & (F.col("label") == k)).alias(f"c{i}_{k}") for i, t in enumerate(tests) for k in (0, 1))).first()
+    assert [[want[f"c{i}_{k}"] for k in (0, 1)] for i in range(len(tests))] == got.tolist()
+    some = tests[::17][:4]
+    both = tree._combined(f, F.lit(0), F.col("label"), {0: some}, 2, 3)[0]
+    assert len(both) == 4 + 4 * 3 * 2 + 4 * 3 * 2 * 4 * 2
+    for e, counts in both[::9]:
+        r = f.df.agg(*(F.count_if(F.coalesce(f.compile(e), F.lit(False)) & (F.col("label") == k)) for k in (0, 1))).first()
+        assert list(r) == counts.tolist()
+
+
+def test_tree_terms_and_combinations(spark):
+    """A product of columns decides; a pair of tests decides where arithmetic is off."""
+    rows = [(float(i % 9 - 4), float(i // 9 - 4), int((i % 9 - 4) * (i // 9 - 4) > 0)) for i in range(81)]
+    f = Frame(spark.createDataFrame(rows, "x double, y double, label int"))
+    model = tree.fit_tree(f, "label")
+    assert tree.loss(f, "label", model) < 0.05 and "x * y" in repr(tree.to_expr(model))
+    apart = tree.TestConfig(disallowed=(("x", "y"),))
+    assert not any("x" in repr(e) and "y" in repr(e) for e in tree.candidates(f, "label", tree.TreeConfig(tests=apart)).tests())
+    corner = Frame(spark.createDataFrame([(x, y, int(x > 0 and y > 0)) for x, y, _ in rows], "x double, y double, label int"))
+    one = tree.fit_tree(corner, "label", tree.TreeConfig(max_depth=1, tests=tree.TestConfig(arithmetic=False, cross=False)))
+    assert tree.loss(corner, "label", one) < 0.1 and any(s in repr(tree.to_expr(one)) for s in ("&&", "||"))
 
 
 def test_whole_tables_are_joined(spark, tmp_path):
