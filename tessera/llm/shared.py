@@ -37,13 +37,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return store(df, name)[0]
 
 
-def store(df: DataFrame, name: str, block: int | None = None) -> tuple[DataFrame, str]:
-    """`materialise`, and the path, for `drop` once nothing reads the table any more; block: bytes of a
-    row group, for tables of large cells."""
+def parquet_options(block: int | None = None, level: int | None = None) -> dict:
+    """Of compressed files. block: bytes of a row group, for tables of large cells; level: of the
+    compression."""
+    given = {"parquet.block.size": block, "parquet.compression.codec.zstd.level": level}
+    return {"compression": "zstd"} | {k: v for k, v in given.items() if v}
+
+
+def store(df: DataFrame, name: str, block: int | None = None, level: int | None = None) -> tuple[DataFrame, str]:
+    """`materialise`, and the path, for `drop` once nothing reads the table any more; see `parquet_options`."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.option("parquet.block.size", block) if block else writer).parquet(path)
+    df.write.options(**parquet_options(block, level)).parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     out = spark.read.schema(schema).parquet(path)
     release(spark)

@@ -26,6 +26,8 @@ from tessera.llm import shared, textkit
 
 UNIT = 64
 RATE = 8000
+#: Bytes of a row group of stored files, and how hard they are compressed.
+BLOCK, LEVEL = 32 << 20, 9
 PCM, ALAW, MULAW, IMA = 0x0001, 0x0006, 0x0007, 0x0011
 
 
@@ -104,16 +106,19 @@ def resample_double(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack_pcm(samples: np.ndarray) -> tuple[bytes, bytes]:
-    """(even samples, odd ones less their prediction) of 16-bit PCM."""
+def pack_pcm(samples: np.ndarray) -> tuple[bytes, bytes | None]:
+    """(even samples, odd ones less their prediction) of 16-bit PCM; None if each odd one is as predicted."""
     even, odd = samples[::2].astype("<i2"), samples[1::2].astype("<i2")
-    return even.tobytes(), (odd - _between(even)[: len(odd)]).astype("<i2").tobytes()
+    rest = odd - _between(even)[: len(odd)] if len(odd) else odd
+    return even.tobytes(), None if len(odd) == len(even) and not rest.any() else rest.astype("<i2").tobytes()
 
 
-def unpack_pcm(even: bytes, rest: bytes) -> np.ndarray:
-    even, rest = np.frombuffer(even, "<i2"), np.frombuffer(rest, "<i2")
-    out = np.empty(len(even) + len(rest), dtype=np.int16)
-    out[::2], out[1::2] = even, rest + (_between(even) if len(even) else even)[: len(rest)]
+def unpack_pcm(even: bytes, rest: bytes | None) -> np.ndarray:
+    even = np.frombuffer(even, "<i2")
+    between = _between(even) if len(even) else even
+    odd = between if rest is None else np.frombuffer(rest, "<i2") + between[: len(rest) // 2]
+    out = np.empty(len(even) + len(odd), dtype=np.int16)
+    out[::2], out[1::2] = even, odd
     return out
 
 
@@ -186,7 +191,7 @@ def _measure(x: np.ndarray) -> str:
     return f"peak={np.abs(x).max()},energy={(x * x).sum()},crossings={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))}"
 
 
-def _pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def _pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
     """Slices of about `most` bytes of a binary column, of one row at least."""
     size = np.array([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()])
     reach, at = np.cumsum(size), 0
@@ -247,7 +252,8 @@ def store_pcm(media: DataFrame, path: str) -> None:
                 pcm = [(None, None) if f is None else pack_pcm(resample_double(decode_wav(f))) for f in part.column(1).to_pylist()]
                 yield _batch(pcm, "doc_id long" + _STORED, part.column(0))
 
-    media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long" + _STORED).write.option("compression", "zstd").parquet(path)
+    rows = media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long" + _STORED)
+    rows.write.options(**shared.parquet_options(BLOCK, LEVEL)).parquet(path)
 
 
 def read_pcm(stored: DataFrame) -> DataFrame:
@@ -269,4 +275,6 @@ def read_pcm(stored: DataFrame) -> DataFrame:
 def telephony_digest(docs: DataFrame) -> DataFrame:
     """Store every text as telephony audio in shared storage, read it back, describe it, and store it
     resampled as PCM, which is read back too."""
-    return read_pcm(shared.materialise(decode(shared.materialise(encode(docs), "telephony")), "telephony-pcm"))
+    media, _ = shared.store(encode(docs), "telephony", BLOCK, LEVEL)
+    pcm, _ = shared.store(decode(media), "telephony-pcm", BLOCK, LEVEL)
+    return read_pcm(pcm)
