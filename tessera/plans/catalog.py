@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import functions as fn
 from tessera.functions import col, lit
-from tessera.operators import bindings, display, joins, pipeline, plots, stats, synthesis, tree
+from tessera.operators import bindings, joins, pipeline, plots, stats
 from tessera.operators.frame import Frame, by_index_range, by_name_property, by_property
 from tessera.operators.grouping import frequencies, group_by, value_counts, value_proportions
 
@@ -127,25 +127,11 @@ def right_join(spark, sf_dir):
     return joins.join("right", ["k"], n, s).df
 
 
-@query("""
-WITH a AS (SELECT if(o_orderkey % 5 = 0, NULL, o_orderkey % 40) AS k, o_orderkey AS x FROM orders WHERE o_orderkey < 200),
-b AS (SELECT if(s_suppkey % 7 = 0, NULL, s_suppkey % 60) AS k, s_suppkey AS y FROM supplier WHERE s_suppkey < 90)
-SELECT coalesce(a.k, b.k) AS k, x, y FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k""")
-def full_outer_join_null_keys(spark, sf_dir):
-    def keyed(f, name, every, modulus, shown, top):
-        f = f.filter_where(col(name) < top) if name != "s_suppkey" else f.filter_where(col(name) < top)
-        return f.derive("k", fn.if_then_else(col(name) % every == 0, lit(None), col(name) % modulus)).rename(name, shown).select("k", shown)
-
-    a = keyed(t(spark, sf_dir, "orders").filter_just("o_orderkey"), "o_orderkey", 5, 40, "x", 200)
-    b = keyed(t(spark, sf_dir, "supplier").filter_just("s_suppkey"), "s_suppkey", 7, 60, "y", 90)
-    return joins.full_outer_join(["k"], b, a).df
-
-
 @query("""
 WITH a AS (SELECT if(o_orderkey % 5 = 0, NULL, o_custkey) AS k, o_orderkey AS x FROM orders),
 b AS (SELECT if(s_suppkey % 7 = 0, NULL, s_suppkey) AS k, count(*) AS n, round(sum(s_acctbal), 2) AS owed FROM supplier GROUP BY ALL)
 SELECT coalesce(a.k, b.k) AS k, x, n, owed FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k""")
-def full_outer_join_whole_tables(spark, sf_dir):
+def full_outer_join_null_keys(spark, sf_dir):
     """All orders, a fifth of them with no key, and all suppliers, grouped by key before the join."""
     a = t(spark, sf_dir, "orders").filter_just("o_orderkey").derive("k", fn.if_then_else(col("o_orderkey") % 5 == 0, lit(None), col("o_custkey"))).rename("o_orderkey", "x").select("k", "x")
     b = t(spark, sf_dir, "supplier").filter_just("s_suppkey").derive("k", fn.if_then_else(col("s_suppkey") % 7 == 0, lit(None), col("s_suppkey")))
@@ -294,19 +280,10 @@ def filter_above_mean(spark, sf_dir):
     return t(spark, sf_dir, "part").filter_where(p > fn.mean(p)).select("p_partkey").df
 
 
-@query("""
-WITH j AS (SELECT c_custkey, o_totalprice AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 3 = 0)
-SELECT c_custkey, round(coalesce(p, (SELECT avg(p) FROM j)), 4) AS p FROM j""")
-def impute_mean(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").filter_just("o_orderkey").filter_where(col("o_orderkey") % 3 == 0).select("o_custkey", "o_totalprice").rename_many([("o_custkey", "c_custkey"), ("o_totalprice", "p")])
-    j = joins.left_join(["c_custkey"], o, t(spark, sf_dir, "customer").select("c_custkey"))
-    return out(j.impute_with("p", fn.mean_maybe(col("p"))), p=4)
-
-
 @query("""
 WITH j AS (SELECT c_custkey, o_totalprice AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey)
 SELECT c_custkey, round(coalesce(p, (SELECT avg(p) FROM j)), 4) AS p FROM j""")
-def impute_mean_whole_tables(spark, sf_dir):
+def impute_mean(spark, sf_dir):
     """Customers without any order have no price."""
     o = t(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").rename_many([("o_custkey", "c_custkey"), ("o_totalprice", "p")])
     j = joins.left_join(["c_custkey"], o, t(spark, sf_dir, "customer").select("c_custkey"))
@@ -419,7 +396,7 @@ def monadic_pipeline(spark, sf_dir):
 
 
 @query("SELECT c_custkey, c_acctbal * 1.1 AS raised FROM customer WHERE c_acctbal * 1.1 > 5000")
-def lazy_scan(spark, sf_dir):
+def lazy_parquet(spark, sf_dir):
     from tessera.streaming import scan_parquet
 
     lazy = scan_parquet(spark, f"{sf_dir}/customer.parquet").derive("raised", col("c_acctbal") * 1.1).select("c_custkey", "raised").filter(col("raised") > 5000.0)
@@ -448,39 +425,6 @@ def json_round_trip(spark, sf_dir):
     return read_json(spark, path, lines=True).df
 
 
-@query()
-def sample_and_folds(spark, sf_dir):
-    """Random streams differ from SQL's; sizes and disjointness are tested."""
-    f = t(spark, sf_dir, "orders")
-    a, b = f.random_split(7, 0.3)
-    folds = f.k_folds(7, 3)
-    parts = [("sample", f.sample(7, 0.5)), ("split a", a), ("split b", b), *((f"fold {i}", x) for i, x in enumerate(folds))]
-    out_ = None
-    for n, x in parts:
-        one = x.df.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n"))
-        out_ = one if out_ is None else out_.unionByName(one)
-    return out_
-
-
-@query()
-def decision_tree(spark, sf_dir):
-    f = Frame(spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").select("quality", "n_chars", "toxic"))
-    model = tree.fit(f, "quality", tree.TreeConfig(max_depth=2))
-    return f.derive("predicted", model).select("quality", "predicted").df.groupBy("quality", "predicted").count()
-
-
-@query()
-def feature_synthesis(spark, sf_dir):
-    f = t(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
-    e = synthesis.synthesize_feature(f, "l_extendedprice", synthesis.BeamConfig(depth=1, beam=10))
-    return spark.createDataFrame([(fn.Expr.__repr__(e),)], "expression string")
-
-
-@query()
-def markdown_table(spark, sf_dir):
-    return spark.createDataFrame([(display.to_markdown(t(spark, sf_dir, "region").sort_by("r_regionkey"), 5),)], "text string")
-
-
 @query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3")
 def bound_columns(spark, sf_dir):
     f = t(spark, sf_dir, "region").filter_just("r_regionkey")

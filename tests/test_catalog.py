@@ -29,7 +29,9 @@ def cells(rows, names):
     def plain(v):
         if v is None or isinstance(v, float) and math.isnan(v):
             return "NULL"
-        return f"{float(v):.6g}" if isinstance(v, (int, float, decimal.Decimal)) and not isinstance(v, bool) else str(v)
+        if isinstance(v, bool) or not isinstance(v, (int, float, decimal.Decimal)):
+            return str(v)
+        return str(int(v)) if v == int(v) else f"{float(v):.6g}"  # whole numbers exactly
 
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 

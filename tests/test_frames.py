@@ -355,9 +355,9 @@ def test_whole_tables_are_joined(spark, tmp_path):
     spark.createDataFrame([(i, i % 3 + 1, float(i)) for i in range(1000, 1010)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, 5.0), (700, 1.0), (707, 2.0), (999, 3.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(1,), (2,), (3,), (4,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
-    rows = {tuple(r[c] for c in ("k", "x", "n", "owed")) for r in entry.queries()["full_outer_join_whole_tables"](spark, str(tmp_path)).collect()}
+    rows = {tuple(r[c] for c in ("k", "x", "n", "owed")) for r in entry.queries()["full_outer_join_null_keys"](spark, str(tmp_path)).collect()}
     keyed = [(None if i % 5 == 0 else i % 3 + 1, i) for i in range(1000, 1010)]
     right = {None: (2, 3.0), 1: (1, 5.0)}
     assert rows == {(k, x, *right.get(k, (None, None))) for k, x in keyed} | {(999, None, 1, 3.0)}
-    got = sorted(tuple(r) for r in entry.queries()["impute_mean_whole_tables"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in entry.queries()["impute_mean"](spark, str(tmp_path)).collect())
     assert got == sorted([(i % 3 + 1, float(i)) for i in range(1000, 1010)] + [(4, 1004.5)])
