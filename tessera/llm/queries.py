@@ -129,7 +129,7 @@ FROM pieces GROUP BY conv_id
 
 _OP8_SQL = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-cut AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i:i + 2])) END AS s FROM words),
+cut AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) END AS s FROM words),
 shingles AS (SELECT doc_id, unnest(s) AS s FROM cut),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM pairs JOIN cut x ON x.doc_id = a JOIN cut y ON y.doc_id = b WHERE 100 * common >= 85 * (len(x.s) + len(y.s) - common)),

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm import shared, textkit
 
 END_ID = 0
+#: Bytes of text in a part at most, about, where the number of shuffle partitions is not enough.
+PART_BYTES = 256 << 20
 _NULL_ID = np.iinfo(np.int64).min
 #: Pieces that a process keeps, at about 40 bytes each.
 _KEPT = 2_000_000
@@ -246,9 +248,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             yield pa.RecordBatch.from_pylist([{"part": part, "file": stem, "n_docs": n_docs, "n_tokens": n_ids, "width": width}])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = (F.col("doc_id"), F.xxhash64("text"), F.col("text"))
-    ordered = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    if partitions is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PART_BYTES), 1)
+    order = (F.col("doc_id"), F.xxhash64("text"))
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(partitions, *order, "row")  # equal rows may part
+    ordered = dealt.sortWithinPartitions(*order, "text").drop("row")
     entries = [r.asDict() for r in ordered.mapInArrow(run, "part long, file string, n_docs long, n_tokens long, width long").collect()]
     entries.sort(key=lambda e: e["part"])
     base = 0
