@@ -581,7 +581,7 @@ def test_token_files(spark, docs, rows, none):
     assert token_files.token_digest(none, tokenizer_path()).count() == 0
 
 
-def brute_suffix_tree(rows, depth, min_count, prior, log_steps):
+def brute_suffix_tree(rows, depth, min_count, prior, log_steps, always):
     """doc_id -> (log10 probability, base), and a function that gives the distribution after a context."""
     tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t, *_ in rows}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -599,20 +599,24 @@ def brute_suffix_tree(rows, depth, min_count, prior, log_steps):
         if not context:
             return (unigram[w] + 1) / (n + v + 1)
         below = p(context[1:], w)
-        c = after.get(context)
-        if not c or not retained(context):
+        if not retained(context):
             return below
+        c = after[context]
         weight = prior * len(c)
         return (c[w] + weight * below) / (sum(c.values()) + weight)
 
-    known = {}
+    known = {(): True}
 
     def retained(context):
         if context not in known:
-            c, total = after[context], sum(after[context].values())
-            gain = sum(k * (math.log(k / total) + min(255, round(-math.log(p(context[1:], w)) * log_steps)) / log_steps) for w, k in c.items())
-            free = max(len(c) - 1, 1)
-            known[context] = total >= min_count and 2 * gain > free + 4 * math.sqrt(2 * free)
+            c, total = after.get(context, {}), sum(after.get(context, {}).values())
+            gain = 0.0
+            for w, k in c.items():
+                q = math.exp(-min(255, round(-math.log(p(context[1:], w)) * log_steps)) / log_steps)
+                left, kinds = total - 1, len(c) - (k == 1)
+                made = (k - 1 + prior * kinds * q) / (left + prior * kinds) if left else 0.0
+                gain += k * math.log(made / q) if made else -math.inf
+            known[context] = retained(context[1:]) and total >= min_count and (gain > 0 or total > always)
         return known[context]
 
     out = {}
@@ -623,15 +627,13 @@ def brute_suffix_tree(rows, depth, min_count, prior, log_steps):
 
 
 @pytest.mark.parametrize("parts,shard_tokens,batch_bytes", [(1, 2_000_000, 6 << 20), (24, 700, 3000)])
-def test_suffix_tree(spark, rows, none, monkeypatch, parts, shard_tokens, batch_bytes):
+def test_suffix_tree(spark, rows, none, parts, shard_tokens, batch_bytes):
     """Equal to brute force at one partition, and at many with contexts that several shards share."""
     from tessera.llm import suffix_tree as s
 
-    monkeypatch.setattr(s, "SHARD_TOKENS", shard_tokens)
-    monkeypatch.setattr(s, "BATCH_BYTES", batch_bytes)
-    want, p, unigram, states, n = brute_suffix_tree(rows, s.DEPTH, s.MIN_COUNT, s.PRIOR, s.LOG_STEPS)
+    want, p, unigram, states, n = brute_suffix_tree(rows, s.DEPTH, s.MIN_COUNT, s.PRIOR, s.LOG_STEPS, shard_tokens)
     docs = spark.createDataFrame(rows, DOCS).repartition(parts)
-    got = {r["doc_id"]: r for r in s.score_documents(docs).collect()}
+    got = {r["doc_id"]: r for r in s.score_documents(docs, shard_tokens=shard_tokens, batch_bytes=batch_bytes).collect()}
     assert len(got) == len(rows) and {len(c) for c in states} == {1, 2}
     for i, t, *_ in rows:
         r, w = got[i], [*WORD.findall((t or "").translate(LOWER)), None]
