@@ -127,6 +127,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM pieces GROUP BY conv_id
 """
 
+_OP3_SQL = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM cut),
+windows AS (
+  SELECT *, array_to_string(list(word) OVER ahead, ' ') AS seq, count(*) OVER ahead AS n FROM words
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+starts AS (SELECT seq, min(doc_id) AS least FROM windows WHERE n = 13 GROUP BY seq),
+marked AS (SELECT doc_id, i, word, coalesce(n = 13 AND least < doc_id, false) AS gone FROM windows LEFT JOIN starts USING (seq)),
+covered AS (SELECT *, bool_or(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS removed FROM marked),
+kept AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS rest FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM cut LEFT JOIN kept USING (doc_id)
+"""
+
 _OP8_SQL = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 cut AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) END AS s FROM words),
@@ -152,4 +165,4 @@ QUERIES = {
     "op10_lm_suffix_tree": op10_lm_suffix_tree,
 }
 
-ORACLES = {"op2_url_filter": _OP2_SQL, "op4_source_mixing": _OP4_SQL, "op7_chat_format": _OP7_SQL, "op8_minhash_dedup": _OP8_SQL}
+ORACLES = {"op2_url_filter": _OP2_SQL, "op3_substring_dedup": _OP3_SQL, "op4_source_mixing": _OP4_SQL, "op7_chat_format": _OP7_SQL, "op8_minhash_dedup": _OP8_SQL}

@@ -238,17 +238,36 @@ def brute_substrings(rows, size=13):
         yield i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_substring_dedup(docs, rows, none, monkeypatch, hot):
+@pytest.mark.parametrize("cell,levels,rows_hot", [(25_000, 8, 100_000), (60, 3, 3)])
+def test_substring_dedup(docs, rows, none, monkeypatch, cell, levels, rows_hot):
     from tessera.llm import substring_dedup as s
 
-    monkeypatch.setattr(s, "HOT", hot)
+    monkeypatch.setattr(s, "CELL", cell)
+    monkeypatch.setattr(s, "LEVELS", levels)
+    monkeypatch.setattr(s, "HOT_ROWS", rows_hot)
     monkeypatch.setattr(s, "SHARD_WORDS", 300)
     assert sorted(map(tuple, s.dedup_substrings(docs).collect())) == sorted(brute_substrings(rows))
-    if hot > 1:
+    if cell > 100:
         assert s.dedup_substrings(none).count() == 0
 
 
+def test_substring_cells_stay_small(spark, monkeypatch):
+    """A passage in very many surroundings, and periodic texts, are dealt out; nothing is lost."""
+    from tessera.llm import substring_dedup as s
+
+    monkeypatch.setattr(s, "CELL", 3000)
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(15))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) + f" {passage} " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(20))) for i in range(400)]
+    rows += [(1000 + i, "la " * (300 + i)) for i in range(30)] + [(2000 + i, "la li lo " * (100 + i)) for i in range(30)]
+    sizes = []
+    search = s._search
+    monkeypatch.setattr(s, "_search", lambda cells: sizes.append(cells.groupBy("anchor").agg(F.sum(F.octet_length("words")) / 6).toDF("a", "n").agg(F.max("n")).first()[0]) or search(cells))
+    got = s.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_substrings(rows))
+    assert len(sizes) > 1 and all(n is None or n <= 3000 for n in sizes)
+
+
 def test_substring_dedup_null_ids(spark):
     from tessera.llm.substring_dedup import dedup_substrings
 
