@@ -13,8 +13,9 @@ reach), and a run's words a segment.
    and streams them through it: backward search over the wavelet matrix gives matching statistics,
    and where they reach WINDOW words, the least doc_id of the matching interval.
    The segments of an anchor with more than CELL words are cut anew at runs of a second anchor, made by
-   another hash, collapsed and dealt out by both, and so on: windows that differ part, and those that
-   are equal become one segment. So no shard grows without bound, and the FM-index finds all matches.
+   another hash of longer pieces, collapsed and dealt out by both, and so on (PIECES): windows that
+   differ part, and those that are equal become one segment. The last pieces are whole windows, so no
+   shard grows without bound; what is left for them, the index finds as single windows.
 4. The intervals found meet the documents again.
 
 Frequent anchors and segments meet their few rows by a broadcast, so that no key's rows are gathered.
@@ -41,8 +42,9 @@ from tessera.llm.fm_index import FMIndex
 WINDOW, GRAM = 13, 5
 #: Windows of a run at most.
 RUN = 64
-#: Words of one anchor's distinct segments that stay together, and how often they are cut anew.
-CELL, LEVELS = 25_000, 8
+#: Words of one anchor's distinct segments that stay together, and words of the pieces that make the
+#: anchors of larger ones.
+CELL, PIECES = 25_000, (8, 10, 11, 12, 12, 12, 12, WINDOW)
 #: Words of distinct segments in a shard, about.
 SHARD_WORDS = 100_000
 #: Rows of one key from which it meets its other side by a broadcast.
@@ -52,10 +54,10 @@ TOLD = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
-def _least_of(grams: np.ndarray, n: int) -> np.ndarray:
-    """The least of the GRAM-word pieces of the window at each of n words."""
+def _least_of(grams: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The least of the pieces of `size` words of the window at each of n words."""
     least = grams[:n].copy()
-    for j in range(1, WINDOW - GRAM + 1):
+    for j in range(1, WINDOW - size + 1):
         np.minimum(least, grams[j : j + n], out=least)
     return least
 
@@ -74,7 +76,7 @@ def _runs(anchor: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def runs_of(words: textkit.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, first window as a word number in its row, windows, run number in its row)."""
     h = words.hashes()
-    least = _least_of(textkit.ngrams(h, GRAM), max(0, len(h) - WINDOW + 1))
+    least = _least_of(textkit.ngrams(h, GRAM), max(0, len(h) - WINDOW + 1), GRAM)
     at, rows = textkit.ngram_rows(words.first, WINDOW)
     begin, size = _runs(least[at], rows)
     row = rows[begin]
@@ -191,8 +193,8 @@ def _cutting(level: int):
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
                 flat, first = _segments(part.column(4))
-                grams = textkit.mix(textkit.ngrams(flat, GRAM) + np.uint64(level + 1))
-                least = _least_of(grams, max(0, len(flat) - WINDOW + 1))
+                grams = textkit.mix(textkit.ngrams(flat, PIECES[level]) + np.uint64(level + 1))
+                least = _least_of(grams, max(0, len(flat) - WINDOW + 1), PIECES[level])
                 at_, rows = textkit.ngram_rows(first, WINDOW)
                 begin, size = _runs(least[at_], rows)
                 row, start = rows[begin], at_[begin]
@@ -282,10 +284,10 @@ def _finish(batches):
 def _matches(distinct: DataFrame, drop: list[str]) -> DataFrame:
     """What _search_shard finds in all distinct segments; `drop` gets the paths of the tables in use."""
     levels, cells = [], distinct  # (segments, what was found in them, what they were cut to)
-    for level in range(LEVELS + 1):
+    for level in range(len(PIECES) + 1):
         large = cells.groupBy("anchor").agg(F.sum(F.octet_length("words")).alias("size")).where(F.col("size") > CELL * _BYTES).select("anchor")
         large = shared.materialise(large, "substring-large")
-        if level == LEVELS or large.isEmpty():
+        if level == len(PIECES) or large.isEmpty():
             levels.append((cells, _search(cells), None))
             break
         kept = shared.materialise(_search(cells.join(large, "anchor", "left_anti")), "substring-found")

@@ -238,12 +238,11 @@ def brute_substrings(rows, size=13):
         yield i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("cell,levels,rows_hot", [(25_000, 8, 100_000), (60, 3, 3)])
-def test_substring_dedup(docs, rows, none, monkeypatch, cell, levels, rows_hot):
+@pytest.mark.parametrize("cell,rows_hot", [(25_000, 100_000), (60, 3)])
+def test_substring_dedup(docs, rows, none, monkeypatch, cell, rows_hot):
     from tessera.llm import substring_dedup as s
 
     monkeypatch.setattr(s, "CELL", cell)
-    monkeypatch.setattr(s, "LEVELS", levels)
     monkeypatch.setattr(s, "HOT_ROWS", rows_hot)
     monkeypatch.setattr(s, "SHARD_WORDS", 300)
     assert sorted(map(tuple, s.dedup_substrings(docs).collect())) == sorted(brute_substrings(rows))
