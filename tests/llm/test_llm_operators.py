@@ -695,6 +695,72 @@ def test_pipeline_stages(spark, tmp_path, rows):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """What each stage keeps of its own input, and the token files of what is left."""
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from tessera.llm import decontamination as d
+    from tessera.llm.queries import tokenizer_path
+
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "kmprst" for b in "aeiou" for c in "lnrs"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, text(rng.randint(30, 90)) + (" vile scum" if i % 4 == 0 else ""), "en", f"s{i % 3}", 0) for i in range(160)]
+    copy = rows[1][1].split(" ")
+    rows += [(200, " ".join([*copy[:-1], "tail"]), "en", "s0", 0), (201, rows[2][1], "de", "s1", 0), (202, None, None, None, None), (203, "", "en", "s2", 0)]
+    item = text(25)
+    rows += [(204, text(20) + " " + item.upper() + " " + text(20), "en", "s0", 0)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, stages = spark.read.parquet(f"{tmp_path}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    texts = {i: x or "" for i, x, *_ in rows}
+
+    docs = spark.createDataFrame(stages["toxicity"](spark, docs, str(tmp_path)).collect(), DOCS)
+    kept = {r["doc_id"] for r in docs.collect()}
+    assert kept == {i for i in texts if "scum" not in texts[i]}
+
+    sets = {}
+    for i in kept:
+        w = WORD.findall(texts[i].translate(LOWER))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
+    gone = {i for i in kept for j in kept if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert gone == {200, 201}
+    docs = spark.createDataFrame(stages["minhash_dedup"](spark, docs, str(tmp_path)).collect(), DOCS)
+    kept -= gone
+    assert {r["doc_id"] for r in docs.collect()} == kept
+
+    kept -= {i for i in kept if item in texts[i].translate(LOWER)}
+    docs = spark.createDataFrame(stages["decontamination"](spark, docs, str(tmp_path)).collect(), DOCS)
+    assert {r["doc_id"] for r in docs.collect()} == kept and 204 not in kept and d.MIN_BYTES <= len(item)
+
+    sizes = collections.Counter(r["source"] for r in docs.collect())
+    weights = {s: n**0.7 for s, n in sizes.items()}
+    want = collections.Counter()
+    for r in docs.collect():
+        rate = len(kept) * weights[r["source"]] / sum(weights.values()) / sizes[r["source"]]
+        u = (int(hashlib.md5(f"17|{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        k, p, total = 0, math.exp(-rate), math.exp(-rate)
+        while total < u:
+            k += 1
+            p *= rate / k
+            total += p
+        want[r["doc_id"]] += k
+    docs = spark.createDataFrame(stages["mixing"](spark, docs, str(tmp_path)).collect(), DOCS)
+    assert collections.Counter(r["doc_id"] for r in docs.collect()) == +want
+
+    t = Tokenizer.from_file(tokenizer_path())
+    start, listed = 0, []
+    for i in sorted(want.elements()):
+        ids = [*t.encode(texts[i], add_special_tokens=False).ids, 0]
+        listed.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, stages["token_binary"](spark, docs, str(tmp_path)).collect()), key=lambda r: r[1]) == listed
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=lambda r: r[1]) == listed
+
+
 def test_clashing_columns_and_nulls_everywhere(spark):
     """Further columns, named like those used inside, change nothing; rows of nulls pass."""
     pytest.importorskip("public_tokenizers")
