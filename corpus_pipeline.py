@@ -1,8 +1,11 @@
 """The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token files.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows its predecessor
-kept, and all but the last return the columns of documents. Rows with null or empty texts, repeated
-rows and further columns pass through the stages as their operators' docstrings say.
+Each stage takes (spark, docs, sf_dir) and returns a table; it works on all rows its predecessor
+kept, and all but the last return the columns of documents. Null and empty texts are kept by the first
+three stages (they hold nothing toxic, no shingles and no items), are mixed as others are, and are one end
+id; rows that share a doc_id are one document to near-dedup and stay or go together; rows without doc_id
+are no duplicates of anything; further columns pass through all stages but the last. An empty table gives an empty
+one in every stage.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document of the smallest doc_id stays."""
-    return minhash.keep_first(docs)
+    """Of each component of near-duplicates (five-word shingles, similarity of 0.8 or more) the document of
+    the smallest doc_id stays."""
+    return minhash.keep_first(docs, minhash.Likeness(size=5, percent=80))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, or a window of a long one, go."""
     return decontamination.keep_clean(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
