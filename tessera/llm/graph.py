@@ -27,11 +27,12 @@ def _lowered(links: DataFrame, low: DataFrame, hub_links: int) -> DataFrame:
 def components(links: DataFrame, name: str = "components", hub_links: int = HUB_LINKS) -> DataFrame:
     """node, root for every node that links(a, b) name; root is the smallest node of its component.
 
-    Each round is written to shared storage. The rounds needed grow with the logarithm of the longest
-    chain.
+    Each round is written to shared storage, and the one before deleted. The rounds needed grow with the
+    logarithm of the longest chain.
     """
+    spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = shared.materialise(edges, name)
+    edges, path = shared.store(edges, name)
     before = None
     while True:
         size = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -42,7 +43,9 @@ def components(links: DataFrame, name: str = "components", hub_links: int = HUB_
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _lowered(both, low, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = shared.materialise(large, name)
+        large, large_path = shared.store(large, name)
+        shared.drop(spark, path)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _lowered(large, low, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = shared.materialise(small, name)
+        edges, path = shared.store(small, name)
+        shared.drop(spark, large_path)

@@ -261,6 +261,14 @@ def _open_pairs(open_nodes: DataFrame, like: Likeness) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+    paths = []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        """Written for the steps below; deleted at the end."""
+        out, path = shared.store(df, f"minhash-{name}")
+        paths.append(path)
+        return out
+
     described = shared.materialise(describe(docs, like), "minhash")
     real = described.where("n > 0 and doc_id is not null")
     found = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "print")).alias("row"), F.min_by("bands", "doc_id").alias("bands"))
@@ -271,14 +279,14 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
     pieces = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = pieces.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = shared.materialise(pieces.join(sizes, "bucket"), "minhash-buckets")
+    buckets = step(pieces.join(sizes, "bucket"), "buckets")
     weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     leaders = buckets.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"))
-    buckets = shared.materialise(buckets.drop("size").join(leaders, "bucket"), "minhash-leaders")
-    stars = shared.materialise(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "minhash-stars")
+    buckets = step(buckets.drop("size").join(leaders, "bucket"), "leaders")
+    stars = step(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
     named = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    sets = shared.materialise(node_sets(docs, nodes.drop("bands").join(named, "node", "left_semi"), like), "minhash-sets")
-    known = shared.materialise(compare(stars, sets), "minhash-compared")
+    sets = step(node_sets(docs, nodes.drop("bands").join(named, "node", "left_semi"), like), "sets")
+    known = step(compare(stars, sets), "compared")
     roots = components(known.where(like.linked()).select("a", "b").unionByName(own), "minhash-links")
 
     # What is left: nodes of one bucket in different components.
@@ -286,14 +294,16 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     placed = buckets.join(far, ["node", "leader"], "left").join(roots, "node", "left")
     placed = placed.select("bucket", "band", "node", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("root", "node").alias("root"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_nodes = shared.materialise(placed.join(open_buckets, "bucket"), "minhash-open")
-    drawn = shared.materialise(sketches(sets, open_nodes.select("node").distinct()), "minhash-sketches")
-    more = shared.materialise(_open_pairs(open_nodes.join(drawn, "node").join(nodes.select("node", "bands"), "node"), like), "minhash-more")
+    open_nodes = step(placed.join(open_buckets, "bucket"), "open")
+    drawn = step(sketches(sets, open_nodes.select("node").distinct()), "sketches")
+    more = step(_open_pairs(open_nodes.join(drawn, "node").join(nodes.select("node", "bands"), "node"), like), "more")
     if not more.isEmpty():
-        later = shared.materialise(compare(more, sets).where(like.linked()).select("a", "b"), "minhash-later")
+        later = step(compare(more, sets).where(like.linked()).select("a", "b"), "later")
         if not later.isEmpty():
             roots = components(later.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "minhash-all")
 
+    for path in paths:
+        shared.drop(docs.sparkSession, path)
     rooted = nodes.select("node", "doc").join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     placed = members.join(rooted.join(least, "root").select("node", "component_id"), "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -1,4 +1,4 @@
-"""URL filters: a blocked Bloom filter in front of an exact hash join, in DataFrame functions only.
+"""URL filters: a blocked Bloom filter in front of an exact hash join, in Spark functions only.
 
 Listed canonical URLs are ``host/path/`` prefixes. A page's candidates are the prefixes of its URL:
 every suffix of its host at a dot with every prefix of its path that ends in a slash. Each different
