@@ -1,4 +1,4 @@
-"""`Frame`: verbs over a Spark DataFrame with an expression language, optional columns and row order.
+"""`Frame`: verbs over a Spark table with an expression language, optional columns and row order.
 
 A frame keeps which columns are required (free of missing values), the expressions that derived
 columns, and the keys it was last sorted by. Positional verbs follow that order; without one they
