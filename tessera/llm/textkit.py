@@ -7,6 +7,7 @@ expression ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes worked on at once; bounds the numpy temporaries of a Python worker (about 60 bytes a byte).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -65,18 +66,29 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return what the process has freed to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about `most` bytes of `column` (one row at least)."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        _, offsets = string_buffers(batch.column(batch.schema.get_field_index(column)))
-        at = 0
-        while at < batch.num_rows:
-            end = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
-            end = min(max(end, at + 1), batch.num_rows)
-            yield batch.slice(at, end - at)
-            at = end
+    try:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            _, offsets = string_buffers(batch.column(batch.schema.get_field_index(column)))
+            at = 0
+            while at < batch.num_rows:
+                end = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
+                end = min(max(end, at + 1), batch.num_rows)
+                yield batch.slice(at, end - at)
+                at = end
+    finally:
+        give_back()
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
