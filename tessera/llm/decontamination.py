@@ -39,7 +39,7 @@ HALF_BAND = 8
 #: searched in several passes.
 BLOCK_BYTES = 8 << 20
 #: Postings looked at in one go.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Postings of a q-gram up to which it is always looked up.
 HOT = 64
 #: Positions that the shared q-grams of a region lie apart at most.

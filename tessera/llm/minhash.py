@@ -135,7 +135,7 @@ def sketches(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * packed.shape[1], pa.int32()), pa.array(packed.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "sketch"])
 
-    return sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, sketch array<long>")
+    return sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(textkit.tidy(run), "node long, sketch array<long>")
 
 
 def sketch_gap(a: Column, b: Column) -> Column:
@@ -216,10 +216,10 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         now, own = None, None
         for batch in batches:
             out = []
-            for b, salt, a, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                mine = np.frombuffer(raw, dtype=np.uint64)
+            for b, salt, a, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                mine = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
                 if a is None:  # null sorts first: the leader itself
-                    now, own = (b, salt), mine
+                    now, own = (b, salt), mine.copy()
                     continue
                 assert now == (b, salt)
                 at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
@@ -228,7 +228,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "common", "total"])
 
-    return rows.select("b", "salt", "a", "shingles").mapInArrow(run, "a long, b long, common long, total long")
+    return rows.select("b", "salt", "a", "shingles").mapInArrow(textkit.tidy(run), "a long, b long, common long, total long")
 
 
 def _open_pairs(open_nodes: DataFrame, like: Likeness) -> DataFrame:
