@@ -65,8 +65,9 @@ def _numeric(frame: Frame) -> list[str]:
 
 
 def conditions(exprs: list[Expr]) -> list[Expr]:
-    """Comparisons of pairs of expressions."""
-    return [op(a, b) for i, a in enumerate(exprs) for b in exprs[i + 1 :] for op in (lambda x, y: x <= y, lambda x, y: x > y)]
+    """Each expression that is no literal, compared with every other one, and the negations."""
+    plain = [a <= b for a in exprs if not is_literal(a) for b in exprs if not a.same(b)]
+    return plain + [~c for c in plain]
 
 
 def grow(base: list[Expr], now: list[Expr], conditionals: bool) -> list[Expr]:
@@ -75,7 +76,7 @@ def grow(base: list[Expr], now: list[Expr], conditionals: bool) -> list[Expr]:
     for e in now:
         if is_literal(e):
             continue
-        out += [abs(e), fn.sqrt(abs(e)), fn.log(abs(e) + 1.0), e**2, fn.relu(e)]
+        out += [abs(e), fn.sqrt(abs(e)), fn.log(abs(e) + 1.0), e**2, e**3, fn.relu(e), fn.signum(e), fn.sin(e), fn.cos(e)]
     for a in now:
         for b in base:
             if is_literal(a) and is_literal(b):
@@ -84,8 +85,7 @@ def grow(base: list[Expr], now: list[Expr], conditionals: bool) -> list[Expr]:
             if not is_literal(b):
                 out += [fn.min_(a, b), fn.max_(a, b)]
     if conditionals:
-        vars_ = [e for e in base if not is_literal(e)]
-        out += [If(c, a, b) for c in conditions(vars_) for a in vars_ for b in vars_ if not a.same(b)]
+        out += [If(c, a, b) for c in conditions(base) for a in base for b in base if not a.same(b) and not (is_literal(a) and is_literal(b))]
     return unique(out)
 
 

@@ -97,6 +97,9 @@ def test_jdbc(spark, tmp_path):
     assert sorted(map(str, got.rows())) == sorted(map(str, users.filter_where(col("AGE") > 26).rows()))
     jdbc.write_table(users, options, "USERS")
     assert jdbc.read_table(spark, options, "USERS").n_rows() == 8
+    entity = jdbc.entity_of(spark, options, "USERS")
+    made = [entity(*r) for r in jdbc.read_table(spark, options, "USERS", ["AGE = 25"]).df.collect()]
+    assert entity.__name__ == "Users" and made == [entity(name="Alice", age=25)] * 2
 
 
 def test_lazy_and_streams(spark, tmp_path):
