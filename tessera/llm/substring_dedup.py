@@ -128,9 +128,13 @@ def _unpack(raw) -> np.ndarray:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """id (a missing one is LAST), print (hash of the text) and text of every row."""
+    """id (a missing one is LAST), print and text of every row. print tells the rows of one id apart: a
+    hash of the text where some id repeats, else 0, which takes no room in the tables below."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.hash(text).alias("print"), text.alias("text"))
+    several = not ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    mark = F.xxhash64(text) if several else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), mark.alias("print"), text.alias("text"))
 
 
 def _emit_anchors(batches):
@@ -153,7 +157,7 @@ def _emit_runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32))], names=["anchor", "id", "print", "run"])
 
 
-_SEGMENTS = "anchor long, key long, id long, print int, start int, words binary"
+_SEGMENTS = "anchor long, key long, id long, print long, start int, words binary"
 
 
 def _emit_segments(batches):
@@ -304,14 +308,13 @@ def _matches(distinct: DataFrame, drop: list[str]) -> DataFrame:
     return out
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """id, print, cover: for documents (see _documents) the word spans [s, e) that earlier ones hold."""
-    spark = docs.sparkSession
-    rows = _documents(docs)
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """id, print, cover: for rows of `_documents` the word spans [s, e) that earlier ones hold."""
+    spark = rows.sparkSession
     anchors = rows.select("id", "text").mapInArrow(_emit_anchors, "anchor long, lo long, hi long, n long")
     several = anchors.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("anchor", "n")
     several = shared.materialise(several, "substring-anchors")
-    runs = rows.select("id", "print", "text").mapInArrow(_emit_runs, "anchor long, id long, print int, run int")
+    runs = rows.select("id", "print", "text").mapInArrow(_emit_runs, "anchor long, id long, print long, run int")
     wanted = shared.materialise(_meet(runs, several, ["anchor"]).groupBy("id", "print").agg(F.collect_set("run").alias("runs")), "substring-runs")
 
     segments = rows.join(wanted, ["id", "print"]).select("id", "print", "text", "runs").mapInArrow(_emit_segments, _SEGMENTS)
@@ -330,6 +333,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs(doc_id, text)."""
-    rows = _documents(docs).join(repeated_spans(docs), ["id", "print"], "left")
+    rows = _documents(docs)
+    rows = rows.join(repeated_spans(rows), ["id", "print"], "left")
     none = F.array().cast("array<struct<s:int,e:int>>")
     return rows.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "text", F.coalesce("cover", none).alias("cover")).mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
