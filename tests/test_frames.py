@@ -73,6 +73,23 @@ def test_statistics(spark):
             f()
 
 
+@pytest.mark.parametrize("bracket", [8, 50_000])
+def test_exact_quantiles(spark, monkeypatch, bracket):
+    """Equal to numpy's, with brackets that must be narrowed, ties, missing values and an empty column."""
+    import numpy as np
+
+    monkeypatch.setattr(stats, "BRACKET", bracket)
+    rng = np.random.default_rng(4)
+    wide, ties = rng.normal(size=6000), rng.integers(0, 7, 6000).astype(float)
+    rows = [(float(a), float(b), None, float(a) if i % 3 else None) for i, (a, b) in enumerate(zip(wide, ties))]
+    f = Frame(spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(4))
+    points = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = stats.exact_quantiles(f, [F.col(n) for n in "abcd"], points)
+    assert got[2] is None
+    for found, values in ((got[0], wide), (got[1], ties), (got[3], [r[3] for r in rows if r[3] is not None])):
+        assert np.allclose(found, np.quantile(values, points), rtol=0, atol=1e-12)
+
+
 def test_summarize_and_describe(spark):
     f = Frame.from_columns(spark, {"A": [1, 2], "B": [1, None], "s": ["x", "y"]})
     s = {r["Statistic"]: r for r in stats.summarize(f).collect()}
