@@ -12,8 +12,8 @@ from tessera.llm import shared
 HUB_LINKS, MOST_HUBS = 10_000, 100_000
 
 
-def _lowered(links: DataFrame, low: DataFrame, hub_links: int) -> DataFrame:
-    """links(u, v) with m of low(u, m, n), n being the number of links of u.
+def lowered(links: DataFrame, low: DataFrame, hub_links: int) -> DataFrame:
+    """links(u, v) with m of low(u, m, n), n being the number of links of u; a hub has over `hub_links`.
 
     The links of a hub meet m by a broadcast of the hubs (at most a row for each `hub_links` links),
     all others by a shuffle, so no node's links are gathered in one task.
@@ -42,10 +42,10 @@ def components(links: DataFrame, name: str = "components", hub_links: int = HUB_
         limit = max(hub_links, 2 * size["n"] // MOST_HUBS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _lowered(both, low, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = lowered(both, low, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large, large_path = shared.store(large, name)
         shared.drop(spark, path)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _lowered(large, low, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = lowered(large, low, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges, path = shared.store(small, name)
         shared.drop(spark, large_path)

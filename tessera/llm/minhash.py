@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shared, textkit
-from tessera.llm.graph import components
+from tessera.llm.graph import MOST_HUBS, components, lowered
 
 #: Coordinates in a band, and the probability that a pair at the threshold shares no band.
 ROWS, MISSED = 5, 1.4e-6
@@ -44,6 +44,8 @@ WIDE = 1024
 FAN = 64
 #: Nodes of a bucket and size class that are held against each other under one key, about.
 CELL = 512
+#: Nodes of a component from which it meets its least doc_id by a broadcast.
+LARGE = 1000
 
 
 @dataclass(frozen=True)
@@ -305,8 +307,10 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     for path in paths:
         shared.drop(docs.sparkSession, path)
     rooted = nodes.select("node", "doc").join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    placed = members.join(rooted.join(least, "root").select("node", "component_id"), "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    least = shared.materialise(rooted.groupBy("root").agg(F.min("doc").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("root", "u"), "minhash-least")
+    most = max(LARGE, least.count() // MOST_HUBS)
+    named = lowered(rooted.select(F.col("root").alias("u"), F.col("node").alias("v")), least, most).select(F.col("v").alias("node"), F.col("m").alias("component_id"))
+    placed = members.join(named, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

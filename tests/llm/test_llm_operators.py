@@ -537,6 +537,7 @@ def test_minhash_unlinked_lookalikes(spark, monkeypatch):
     from tessera.llm import minhash
 
     monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(minhash, "LARGE", 1)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(300)]
     rows = []
