@@ -235,6 +235,8 @@ def _search_shard(table: pa.Table) -> pa.Table:
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(owner)) - 1 if len(begin) else begin
     own = owner[begin]
+    del index, flat
+    textkit.give_back()
     return pa.table({"anchor": anchor[own], "key": key[own], "n": n[own], "i": place[begin].astype(np.int32), "j": place[end].astype(np.int32), "least": least[begin]})
 
 
@@ -295,7 +297,7 @@ def _matches(distinct: DataFrame, drop: list[str]) -> DataFrame:
             levels.append((cells, _search(cells), None))
             break
         kept = shared.materialise(_search(cells.join(large, "anchor", "left_anti")), "substring-found")
-        cut = cells.join(large, "anchor", "left_semi").select("anchor", "key", "lo", "hi", "words").mapInArrow(_cutting(level), _CUT)
+        cut = cells.join(large, "anchor", "left_semi").select("anchor", "key", "lo", "hi", "words").mapInArrow(textkit.tidy(_cutting(level)), _CUT)
         cut, path = shared.store(cut, "substring-cut")
         levels.append((cells, kept, cut))
         cells, other = shared.store(_collapsed(cut, "lo", "hi"), "substring-distinct")
