@@ -500,6 +500,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, depth: int
         else:  # a row for each shard
             told.v, told.n = (int(x) for x in np.sum([unpack(bytes(r["data"]))[0] for r in sums.select("data").collect()] or [[0, 0]], axis=0))
         answers = found.where("batch >= 0")
+        shared.release(spark)  # of this level: the last job's shuffles are held until another one has run
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = shared.materialise(by_batch(answers).applyInArrow(_finishing(told, depth + 1), schema), "suffix-scores")
     for path in (spent, folder):
