@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,40 @@ def test_lazy_and_streams(spark, tmp_path):
     query = write_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check")
     query.awaitTermination(60)
     assert sorted(r["d"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [10, 12, 14, 16, 18]
+
+
+def test_embedded_database_is_the_drivers(tmp_path):
+    """Executors of their own processes can't open the database that the driver has open."""
+    import subprocess
+    import sys
+
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+from tessera.operators.frame import Frame
+from tessera.sources import jdbc
+options = jdbc.JdbcOptions("jdbc:derby:{tmp_path}/db;create=true", {{"driver": "org.apache.derby.jdbc.EmbeddedDriver"}}, batch_size=3, id_column="k", lower=0, upper=10, partitions=2)
+f = Frame(spark.range(10).selectExpr("id AS k", "IF(id % 4 = 0, NULL, concat('n', id)) AS NAME", "CAST(id AS decimal(10,2)) / 4 AS part", "date_add(DATE '2024-01-01', CAST(id AS int)) AS day").repartition(4))
+jdbc.write_table(f, options, "ROWS_OF_F")
+got = jdbc.read_table(spark, options, "ROWS_OF_F", ["k > 3", "length(NAME) = 2"])
+assert sorted(map(str, got.rows())) == sorted(map(str, Frame(f.df.where("k > 3 AND length(NAME) = 2").withColumn("part", f.df.part.cast(got.df.schema["part"].dataType))).rows())), got.rows()
+assert got.n_rows() == 4 and jdbc.read_table(spark, options, "ROWS_OF_F").n_rows() == 10
+jdbc.write_table(f, options, "ROWS_OF_F", "ignore")
+assert jdbc.read_table(spark, options, "ROWS_OF_F").n_rows() == 10
+jdbc.write_table(f, options, "ROWS_OF_F", "overwrite")
+assert jdbc.read_table(spark, options, "ROWS_OF_F").n_rows() == 10
+print("well done")
+os._exit(0)
+"""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    import pyspark
+
+    for p in os.listdir(os.path.dirname(pyspark.__file__)):
+        if p != "work":
+            os.symlink(os.path.join(os.path.dirname(pyspark.__file__), p), home / p)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "SPARK_HOME": str(home), "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "well done" in done.stdout, done.stderr[-3000:]
