@@ -378,3 +378,30 @@ def test_whole_tables_are_joined(spark, tmp_path):
     assert rows == {(k, x, *right.get(k, (None, None))) for k, x in keyed} | {(999, None, 1, 3.0)}
     got = sorted(tuple(r) for r in entry.queries()["impute_mean"](spark, str(tmp_path)).collect())
     assert got == sorted([(i % 3 + 1, float(i)) for i in range(1000, 1010)] + [(4, 1004.5)])
+
+
+def test_extraction_lies_on_disk(spark):
+    """Columns, rows and matrices come by partition and in order, and aren't held in memory."""
+    import tracemalloc
+
+    import numpy as np
+
+    n = 300_000
+    f = Frame(spark.range(n, numPartitions=7).select("id", F.when(F.col("id") % 3 > 0, F.col("id") / 2).alias("half"), F.concat(F.lit("s"), "id").alias("s")))
+    tracemalloc.start()
+    cells, rows, m = f.values("id"), f.select("id", "half").rows(), f.select("id", "half").matrix()
+    assert tracemalloc.get_traced_memory()[1] < 6_000_000  # the lists took over 9 MB a column, the matrix 5 MB
+    tracemalloc.stop()
+    assert len(cells) == len(rows) == n and cells[-1] == n - 1 and cells[5000:5002] == [5000, 5001] and sum(cells) == n * (n - 1) // 2
+    assert rows[4] == {"id": 4, "half": 2.0} and rows[3]["half"] is None
+    assert m.shape == (n, 2) and m[:, 0].tolist() == list(range(n)) and np.isnan(m[::3, 1]).all() and m[7, 1] == 3.5
+    down = f.sort_by(("id", False))
+    assert down.values("s")[:2] == [f"s{n - 1}", f"s{n - 2}"] and down.vector("id", "long")[0] == n - 1 and down.values("id") != cells
+    m[0, 0] = 5.0  # the host's own copy
+    assert m[0, 0] == 5.0 and f.take(0).values("id") == [] and f.take(0).matrix().shape == (0, 3)
+    import datetime
+
+    kinds = Frame(spark.sql("SELECT DATE '2024-02-03' AS d, TIMESTAMP '2024-02-03 04:05:06' AS t, 1.50BD AS n, named_struct('a', 1) AS s, array(1, NULL) AS l, CAST('x' AS binary) AS b"))
+    assert kinds.rows() == [r.asDict() for r in kinds.df.collect()] and kinds.values("d") == [datetime.date(2024, 2, 3)]
+    with pytest.raises(IndexError):
+        cells[n]
