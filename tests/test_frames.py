@@ -425,3 +425,25 @@ def test_programs_equal_spark(spark):
             for r, v, lost in zip(got, x, np.zeros(len(got), bool) if null is None else null):
                 want = r[k + 2]
                 assert lost if want is None else not lost and (math.isnan(v) if math.isnan(want) else v == pytest.approx(want, rel=1e-12, abs=0)), (e, tuple(r[:2]), v, want)
+
+
+def test_measures_equal_spark(spark):
+    """Scores of a beam are those of Spark's aggregates, one program for many expressions."""
+    f = Frame(spark.range(9000).select((F.col("id") % 97 / 7).alias("a"), (F.col("id") * 31 % 101 - 40).cast("int").alias("b"), F.when(F.col("id") % 50 > 0, F.col("id") % 11 - 4.5).alias("y"), F.lit(0.1).alias("c")))
+    base = [fn.to_double(col(n)) for n in "abc"]
+    exprs = [*base, *synthesis.grow(base, base, False)]
+    y = F.col("y")
+    assert len(exprs) > 50
+    for loss in synthesis.Loss:
+        got = {repr(e): s for e, s, _ in synthesis._measure(f, exprs, y, loss)}
+        xs = {repr(e): f.compile(e).cast("double") for e in exprs}
+        fine = f.df.agg(*(F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias(k) for k, x in xs.items())).first()
+        aggs = {}
+        for k, x in xs.items():
+            tp, fp, miss = F.count_if((x > 0) & (y > 0)), F.count_if((x > 0) & ~(y > 0)), F.count_if(~(x > 0) & (y > 0))
+            aggs[k] = fn.correlation(x, y) ** 2 if loss is synthesis.Loss.PEARSON else -F.avg((x - y) * (x - y)) if loss is synthesis.Loss.MSE else 2 * tp / (2 * tp + fp + miss)
+        want = {}
+        for s in range(0, len(aggs), 20):
+            want |= f.df.agg(*(v.alias(k) for k, v in list(aggs.items())[s : s + 20])).first().asDict()
+        want = {k: v for k, v in want.items() if not fine[k] and v is not None and math.isfinite(v)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in want.items())
