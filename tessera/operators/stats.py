@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +13,7 @@ from tessera import functions as fn
 from tessera.errors import EmptyData, TypeMismatch, WrongQuantile
 from tessera.functions.expr import Agg, Col, Expr
 from tessera.operators.frame import Frame, native_aggregate
+from tessera.sources.scratch import keep
 
 
 def _expr(e: Expr | str) -> Expr:
@@ -122,14 +124,34 @@ def quantiles(frame: Frame, q: int, e) -> list[float]:
 
 
 def generic_percentile(frame: Frame, n: float, e):
-    """The value of any ordered type at place floor(n / 100 * (count - 1)), by a distributed sort."""
-    if not 0 <= n <= 100:
-        raise WrongQuantile(f"percentile {n} is outside 0..100")
-    present = frame.df.select(frame.compile(_expr(e)).alias("v"))
-    total = present.count()
+    """The value of any ordered type at place floor(n / 100 * (count - 1))."""
+    return generic_percentiles(frame, (n,), e)[0]
+
+
+def generic_percentiles(frame: Frame, ns: Sequence[float], e) -> list:
+    """Several of them. Different values are counted and dealt out by ranges; only the ranges with a place
+    asked for are added up value by value, so no task and not the driver holds a column."""
+    for n in ns:
+        if not 0 <= n <= 100:
+            raise WrongQuantile(f"percentile {n} is outside 0..100")
+    counts = frame.df.select(frame.compile(_expr(e)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # Ranges are sampled, so the rows are written once, with their marks.
+    counts = keep(counts.orderBy(F.col("v").asc_nulls_first()).withColumn("mark", F.monotonically_increasing_id()), "percentiles")
+    part = F.shiftright("mark", 33)
+    sums = sorted(counts.groupBy(part.alias("p")).agg(F.sum("n").alias("n")).collect())  # a row for each range
+    total = sum(n for _, n in sums)
     if not total:
         raise EmptyData("percentile of no values")
-    return present.orderBy(F.col("v").asc_nulls_first()).offset(floor(n / 100 * (total - 1))).limit(1).first()[0]
+    asked, base = {}, 0  # place: its range, and the place in it
+    places = [floor(n / 100 * (total - 1)) for n in ns]
+    for p, n in sums:
+        asked |= {x: (p, x - base) for x in places if base <= x < base + n}
+        base += n
+    upto = counts.where(part.isin({p for p, _ in asked.values()})).withColumn("upto", F.sum("n").over(Window.partitionBy(part).orderBy("mark")))
+    hit = [F.when((part == p) & (F.col("upto") > x) & (F.col("upto") - F.col("n") <= x), F.lit(k)) for k, (p, x) in asked.items()]
+    rows = upto.select("v", F.explode(F.filter(F.array(*hit), lambda k: k.isNotNull())).alias("k"))
+    found = {r["k"]: r["v"] for r in rows.collect()}
+    return [found[x] for x in places]
 
 
 def variance(frame: Frame, e) -> float:

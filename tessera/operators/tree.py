@@ -154,12 +154,12 @@ def candidates(frame: Frame, target: str, config: TreeConfig) -> Candidates:
     plain += [fn.is_nothing(Col(f.name)) for f in fields if f.name not in frame.required and frame.has_missing(f.name)]
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     if tests.text and text:
-        from tessera.operators.stats import generic_percentile
+        from tessera.operators.stats import generic_percentiles
 
         for name in text:
             present = frame.filter_just(name)
             if present.df.limit(1).count():
-                plain += [Col(name) == v for v in dict.fromkeys(generic_percentile(present, p, name) for p in (1, 25, 75, 99))]
+                plain += [Col(name) == v for v in dict.fromkeys(generic_percentiles(present, (1, 25, 75, 99), name))]
     if tests.cross:
         numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType) and f.name not in frame.required and frame.has_missing(f.name)]
         for names, kinds in ((text, ("==",)), (numeric, ("<=", "=="))):

@@ -447,3 +447,14 @@ def test_measures_equal_spark(spark):
             want |= f.df.agg(*(v.alias(k) for k, v in list(aggs.items())[s : s + 20])).first().asDict()
         want = {k: v for k, v in want.items() if not fine[k] and v is not None and math.isfinite(v)}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in want.items())
+
+
+def test_generic_percentiles_hold_no_column(spark):
+    """Places are found by counts of values, not by sorting up to the place in one task."""
+    f = Frame(spark.range(20_000).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("v"), F.col("id") * 7919 % 613)).alias("s"), (F.col("id") * 31 % 5003 / 4).alias("x")))
+    asked = (0, 1, 14, 25, 50, 75, 99.5, 100)
+    for name in ("s", "x"):
+        rows = sorted((r[0] for r in f.df.select(name).collect()), key=lambda v: (v is not None, v))
+        assert stats.generic_percentiles(f, asked, name) == [rows[math.floor(p / 100 * 19_999)] for p in asked]
+    with pytest.raises(EmptyData):
+        stats.generic_percentile(f.take(0), 50, "s")
