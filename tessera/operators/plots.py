@@ -101,12 +101,52 @@ def five_numbers(frame: Frame, names: Sequence[str]) -> list[tuple[str, list[flo
     return list(zip(names, found))
 
 
-def points(frame: Frame, x: str, ys: Sequence[str], by: str | None = None, most: int = 2000, seed: int = 1) -> list:
-    """At most about `most` rows of x, ys (and by), a uniform sample of larger frames."""
-    cols = [frame._c(c) for c in dict.fromkeys([x, *ys, *([by] if by else [])])]
-    n = frame.df.count()
-    df = frame.df.select(*cols)
-    return (df if n <= most else df.where(F.rand(seed) < most / n)).collect()
+def points(frame: Frame, x: str, ys: Sequence[str], by: str | None = None) -> DataFrame:
+    """All rows of x, ys (and by)."""
+    return frame.df.select(*(frame._c(c) for c in dict.fromkeys([x, *ys, *([by] if by else [])])))
+
+
+def flat_points(frame: Frame, x: str, ys: Sequence[str], by: str | None = None) -> DataFrame:
+    """i, kind, x, y: a row for each finite point, with the number of its y."""
+
+    def number(name: str):
+        c = frame._c(name)
+        return (c.cast("timestamp") if isinstance(frame.field(name).dataType, T.DateType) else c).cast("double")
+
+    kind = F.coalesce(frame._c(by).cast("string"), F.lit("None")) if by else F.lit("")
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), number(y).alias("y")) for i, y in enumerate(ys)))
+    flat = frame.df.select(number(x).alias("x"), kind.alias("kind"), F.explode(pairs).alias("p")).select("p.i", "kind", "x", "p.y")
+    return flat.where((F.abs("x") < math.inf) & (F.abs("y") < math.inf))
+
+
+def _bounds(flat: DataFrame) -> tuple[float, float, float, float]:
+    """Least x, width, least y and height of the points."""
+    r = flat.agg(F.min("x"), F.max("x") - F.min("x"), F.min("y"), F.max("y") - F.min("y")).first()
+    if r[0] is None:
+        raise EmptyData("there are no points")
+    return r[0], r[1] or 1.0, r[2], r[3] or 1.0
+
+
+def _place(name: str, low: float, wide: float, cells: int):
+    return F.floor((F.col(name) - low) / wide * (cells - 1)).cast("int")
+
+
+def point_cells(flat: DataFrame, width: int, height: int) -> tuple[tuple[float, float, float, float], list]:
+    """The bounds, and i, kind, col, row, n, x and y (means) of the cells with points. All points count;
+    a series has at most width * height cells."""
+    x0, dx, y0, dy = _bounds(flat)
+    cells = flat.groupBy("i", "kind", _place("x", x0, dx, width).alias("col"), _place("y", y0, dy, height).alias("row"))
+    return (x0, dx, y0, dy), cells.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("i", "kind", "col", "row").collect()
+
+
+def line_points(flat: DataFrame, width: int) -> tuple[tuple[float, float, float, float], list]:
+    """The bounds, and i, x, y of each series' first, last, lowest and highest point in each of `width` columns, by x: lines
+    through them are those through all points, at that width."""
+    x0, dx, y0, dy = _bounds(flat)
+    ends = [f(F.struct(*(F.col(c) for c in names))).alias(f"e{k}") for k, (f, names) in enumerate(((F.min, "xy"), (F.max, "xy"), (F.min, "yx"), (F.max, "yx")))]
+    found = flat.groupBy("i", _place("x", x0, dx, width).alias("col")).agg(*ends)
+    rows = found.select("i", F.explode(F.array_distinct(F.array(*(F.struct(f"e{k}.x", f"e{k}.y") for k in range(4))))).alias("p")).select("i", "p.x", "p.y")
+    return (x0, dx, y0, dy), rows.orderBy("i", "x", "y").collect()
 
 
 def numeric_columns(frame: Frame) -> list[str]:
@@ -210,28 +250,27 @@ def plot_box(frame: Frame, names: Sequence[str]) -> str:
     return "\n".join(f"{n}: min {v[0]:g}, 25% {v[1]:g}, median {v[2]:g}, 75% {v[3]:g}, max {v[4]:g}" for n, v in five_numbers(frame, names))
 
 
-def grid_text(xs: Sequence[float], ys: Sequence[float], marks: Sequence[str] | None = None, width: int = 60, height: int = 18) -> str:
-    if not xs:
-        raise EmptyData("there are no points")
-    x0, y0 = min(xs), min(ys)
-    dx, dy = (max(xs) - x0) or 1, (max(ys) - y0) or 1
+#: Columns and rows of plots of points as text, and of those in a page (its pixels by two, as marks are wider).
+GRID, PIXELS = (60, 18), (290, 185)
+
+
+def grid_text(marks: Sequence[tuple[int, int, str]], width: int = GRID[0], height: int = GRID[1]) -> str:
+    """Marks at (column, row from below); the last of a place stays."""
     rows = [[" "] * width for _ in range(height)]
-    for i, (x, y) in enumerate(zip(xs, ys)):
-        rows[height - 1 - int((y - y0) / dy * (height - 1))][int((x - x0) / dx * (width - 1))] = marks[i] if marks else "•"
+    for x, y, mark in marks:
+        rows[height - 1 - y][x] = mark
     return "\n".join("".join(r).rstrip() for r in rows)
 
 
 def plot_scatter(frame: Frame, x: str, y: str, by: str | None = None) -> str:
-    rows = [r for r in points(frame, x, [y], by) if r[x] is not None and r[y] is not None]
-    names = sorted({str(r[by]) for r in rows}) if by else []
-    marks = [chr(ord("a") + names.index(str(r[by])) % 26) for r in rows] if by else None
-    return grid_text([r[x] for r in rows], [r[y] for r in rows], marks)
+    """Where several kinds meet, the most frequent is shown."""
+    cells = point_cells(flat_points(frame, x, [y], by), *GRID)[1]
+    names = {k: i for i, k in enumerate(sorted({r["kind"] for r in cells}))}
+    return grid_text([(r["col"], r["row"], chr(ord("a") + names[r["kind"]] % 26) if by else "•") for r in sorted(cells, key=lambda r: r["n"])])
 
 
 def plot_lines(frame: Frame, x: str, ys: Sequence[str]) -> str:
-    rows = sorted((r for r in points(frame, x, ys) if r[x] is not None), key=lambda r: r[x])
-    flat = [(r[x], r[y], chr(ord("a") + i % 26)) for i, y in enumerate(ys) for r in rows if r[y] is not None]
-    return grid_text([f[0] for f in flat], [f[1] for f in flat], [f[2] for f in flat])
+    return grid_text([(r["col"], r["row"], chr(ord("a") + r["i"] % 26)) for r in point_cells(flat_points(frame, x, ys), *GRID)[1]])
 
 
 def plot_heatmap(frame: Frame, most: int = 40) -> str:
@@ -312,31 +351,27 @@ def box_html(frame: Frame, names: Sequence[str]) -> str:
 
 
 def scatter_html(frame: Frame, x: str, y: str, by: str | None = None) -> str:
-    rows = [r for r in points(frame, x, [y], by) if r[x] is not None and r[y] is not None]
-    kinds = sorted({str(r[by]) for r in rows}) if by else []
-    at = _scaled([(r[x], r[y]) for r in rows])
-    marks = [f'<circle cx="{a:.1f}" cy="{b:.1f}" r="3" fill="{_colour(kinds.index(str(r[by])) if by else 0)}"/>' for (a, b), r in zip(at, rows)]
-    marks += [f'<text x="620" y="{20 * i + 40}" fill="{_colour(i)}">{html.escape(k)}</text>' for i, k in enumerate(kinds)]
-    return _page(f"{y} by {x}", [[r[x], r[y]] for r in rows], "".join(marks), 420)
+    """All points, those of one place as one mark at their mean, with their number in the data."""
+    bounds, cells = point_cells(flat_points(frame, x, [y], by), *PIXELS)
+    kinds = {k: i for i, k in enumerate(sorted({r["kind"] for r in cells}))}
+    at = _scaled([(r["x"], r["y"]) for r in cells], bounds)
+    marks = [f'<circle cx="{a:.1f}" cy="{b:.1f}" r="3" fill="{_colour(kinds[r["kind"]])}"/>' for (a, b), r in zip(at, cells)]
+    marks += [f'<text x="620" y="{20 * i + 40}" fill="{_colour(i)}">{html.escape(k)}</text>' for k, i in kinds.items() if by]
+    return _page(f"{y} by {x}", [[r["x"], r["y"], r["n"]] for r in cells], "".join(marks), 420)
 
 
 def lines_html(frame: Frame, x: str, ys: Sequence[str]) -> str:
-    rows = sorted((r for r in points(frame, x, ys) if r[x] is not None), key=lambda r: r[x])
-    flat = [(i, r[x], r[y]) for i, y in enumerate(ys) for r in rows if r[y] is not None]
-    at = _scaled([(a, b) for _, a, b in flat])
+    bounds, rows = line_points(flat_points(frame, x, ys), 2 * PIXELS[0])
     marks = []
     for i, y in enumerate(ys):
-        own = " ".join(f"{a:.1f},{b:.1f}" for (a, b), (k, _, _) in zip(at, flat) if k == i)
+        own = " ".join(f"{a:.1f},{b:.1f}" for a, b in _scaled([(r["x"], r["y"]) for r in rows if r["i"] == i], bounds))
         marks.append(f'<polyline points="{own}" fill="none" stroke="{_colour(i)}"/><text x="620" y="{20 * i + 40}" fill="{_colour(i)}">{html.escape(y)}</text>')
-    return _page(f"lines by {x}", [[r[x], *(r[y] for y in ys)] for r in rows], "".join(marks), 420)
+    return _page(f"lines by {x}", [[ys[r["i"]], r["x"], r["y"]] for r in rows], "".join(marks), 420)
 
 
-def _scaled(pairs: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
-    if not pairs:
-        raise EmptyData("there are no points")
-    x0, y0 = min(a for a, _ in pairs), min(b for _, b in pairs)
-    dx, dy = (max(a for a, _ in pairs) - x0) or 1, (max(b for _, b in pairs) - y0) or 1
-    return [(20 + (float(a) - float(x0)) / float(dx) * 580, 400 - (float(b) - float(y0)) / float(dy) * 370) for a, b in pairs]
+def _scaled(pairs: Sequence[tuple[float, float]], bounds: tuple[float, float, float, float]) -> list[tuple[float, float]]:
+    x0, dx, y0, dy = bounds
+    return [(20 + (a - x0) / dx * 580, 400 - (b - y0) / dy * 370) for a, b in pairs]
 
 
 def _colour(i: int) -> str:
