@@ -458,3 +458,25 @@ def test_generic_percentiles_hold_no_column(spark):
         assert stats.generic_percentiles(f, asked, name) == [rows[math.floor(p / 100 * 19_999)] for p in asked]
     with pytest.raises(EmptyData):
         stats.generic_percentile(f.take(0), 50, "s")
+
+
+def test_plots_show_all_points(spark):
+    """No sample: every point counts in its cell, and lines keep the turns of every column."""
+    import json
+
+    n = 7000
+    f = Frame(spark.range(n).select("id", F.when(F.col("id") == 4321, 1000.0).when(F.col("id") == 17, float("nan")).when(F.col("id") != 18, F.col("id") % 10 * 1.0).alias("y"), (F.col("id") % 2).alias("k")))
+    assert plots.points(f, "id", ["y"]).count() == n
+    data = lambda page: json.loads(page.split('application/json">')[1].split("</script>")[0])
+    cells = data(plots.scatter_html(f, "id", "y"))
+    assert sum(c[2] for c in cells) == n - 2 and [4321.0, 1000.0, 1] in cells and len(cells) < 600
+    assert sum(c[2] for c in data(plots.scatter_html(f, "id", "y", "k"))) == n - 2
+    lines = data(plots.lines_html(f, "id", ["y"]))
+    assert ["y", 4321.0, 1000.0] in lines and ["y", 0.0, 0.0] in lines and ["y", 6999.0, 9.0] in lines and len(lines) <= 4 * 580
+    assert [r[1] for r in lines] == sorted(r[1] for r in lines)
+    top = plots.plot_scatter(f, "id", "y").splitlines()
+    assert len(top) == 18 and top[0].strip() == "•" and top[0].index("•") == int(4321 / 6999 * 59) and len(top[-1]) == 60
+    small = Frame.from_columns(spark, {"x": [0.0, 1.0, 1.0, 1.0], "y": [0.0, 2.0, 2.0, 2.0], "s": ["p", "q", "r", "r"]})
+    assert plots.plot_scatter(small, "x", "y", "s").splitlines()[0][-1] == "c"
+    with pytest.raises(EmptyData):
+        plots.plot_scatter(f.take(0), "id", "y")
